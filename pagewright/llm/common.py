@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,10 +39,26 @@ def first_arrival(df: DataFrame, key: str, time: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; a temporary one only where none is named, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))  # own folder only where none is named, as in tests
-    return df.checkpoint()
+    """``df`` written once as a table in the shared folder and read again: its lineage ends there, so lost executors
+    cost no recomputation and several uses compute it once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores; leaves tables alone that have them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def unique_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of ``context``, each once, spread over the cores."""
+    return cut(first_arrival(spread(table(spark, sf_dir, "context")), "page_id", "packed_at"))
