@@ -23,7 +23,7 @@ from .common import cut
 COMPONENTS, ROUNDS = 14, 12
 #: Pages the first component centres are drawn from, by hash; documented bound of that sample.
 START_SAMPLE = 4000
-STATS = ("words", "word_length", "symbols", "digits", "ends", "common", "entries", "rows", "repeats", "letters", "line_length", "odd_words", "chunks")
+STATS = ("words", "word_length", "symbols", "digits", "ends", "common", "entries", "rows", "repeats", "letters", "line_length", "odd_words", "chunks", "phrase")
 _UNSPACED = "一-鿿㐀-䶿぀-ヿ฀-๿"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+[ऀ-ॿ]*")
 _ENDS = ".!?…。！？।:"
@@ -57,6 +57,11 @@ def chunk_share(text: str) -> float:
     return sum(len(c) for c in text.split() if len(c) > 40 and c.isascii()) / max(1, len(text))
 
 
+def phrase_share(words: list[str]) -> float:
+    """Share of the most frequent three words in a row; 0 for short texts."""
+    return max(Counter(zip(words, words[1:], words[2:])).values()) / len(words) if len(words) >= 24 else 0.0
+
+
 def row_share(lines: list[str]) -> float:
     """Share of lines that are rows of the most frequent shape of three or more columns."""
     shapes = Counter(s for s in map(_columns, lines) if s[1] >= 3)
@@ -81,7 +86,7 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
         math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), sum(not c.isalnum() and not c.isspace() and not _lettered(c) for c in whole) / solid,
         sum(c.isdigit() for c in whole) / solid, sum(x.rstrip("\"'”»’)」』 ")[-1:] in tuple(_ENDS) for x in lines) / len(lines),
         sum(w in common for w in words) / max(1, len(words)), sum(bool(_ENTRY.match(x)) for x in lines) / len(lines), row_share(lines),
-        1 - len({x.strip() for x in lines}) / len(lines), sum(map(_lettered, whole)) / solid, math.log1p(len(whole) / len(lines)), odd / max(1, len(plain)), chunk_share(whole),
+        1 - len({x.strip() for x in lines}) / len(lines), sum(map(_lettered, whole)) / solid, math.log1p(len(whole) / len(lines)), odd / max(1, len(plain)), chunk_share(whole), phrase_share(words),
     ]
 
 
@@ -107,7 +112,7 @@ EXAMPLES = {
     "junk": (
         "k3JhdVQ9x0LmZp2+Rt7/wq8YbN1sD4vG5hE6uCjXoKiT\nZzA0mB9nQ8wE7rT6yU5iO4pL3kJ2hG1fD+/sAxCvBn", "3f a9 00 1c 7e 52 bb 04 c8 9d 6a f1 20 37 e5\n88 1b d4 90 2f 6c a3 0e 57 b9 cc 41 fa 13 76",
         "█▓▒░║═╗╔╝╚▄▀ ▌▐█▓\n░▒▓█╗╔═║▐▌▀▄ ╚╝░", "xq vzkrt pfl mwqzx bnrtk\ngkq pqwfs hdfkbrw zzxv tlmn", "]O{}[] sOnI |0I]|t[lk~ 1lt{~}[}~ en]m$n$~", "??? ??? ???\n??? ??? ???\n??? ??? ???\n??? ??? ???", "%#@: *##~+^ *<~*%\n&=*@=|^= >/+:==<##-",
-        "please wait\nplease wait\nplease wait\nplease wait\nplease wait\nplease wait",
+        "please wait here\n" * 12, "to be or not " * 30,
     ),
 }
 
@@ -123,8 +128,7 @@ def exact_kind(text: str, common: set[str]) -> str:
         return "junk"
     words = [w.lower() for w in _WORD.findall("\n".join(lines))]
     if len(words) >= 24:  # one phrase over and over, also within a line
-        grams = Counter(zip(words, words[1:], words[2:]))
-        if max(grams.values()) > 0.15 * len(words) or len(set(words)) < 0.08 * len(words):
+        if phrase_share(words) > 0.15 or len(set(words)) < 4:
             return "junk"
     if s["chunks"] > 0.5:
         return "junk"
@@ -173,6 +177,12 @@ class Mixture:
         d = ((z[:, None, :] - self.center[None]) ** 2 / self.var[None]).sum(2)
         return np.log(self.weight)[None] - 0.5 * (d + np.log(self.var).sum(1)[None])
 
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """Mean squared distance, in deviations, to the component each row fits best."""
+        z = (x - self.mean) / self.scale
+        best = self.logs(x).argmax(1)
+        return ((z - self.center[best]) ** 2 / self.var[best]).mean(1)
+
     def posterior(self, x: np.ndarray) -> np.ndarray:
         logs = self.logs(x)
         p = np.exp(logs - logs.max(1, keepdims=True))
@@ -253,6 +263,8 @@ def classify_pages(pages: DataFrame, common_words: DataFrame, key: str = "page_i
         for stats, texts in cols:
             p = now.posterior(np.stack(stats.to_numpy())) if len(stats) else np.zeros((0, COMPONENTS))
             best, sure = p.argmax(1), p[:, prose].sum(1)
+            if len(stats):
+                sure = np.where(now.distance(np.stack(stats.to_numpy())) > 6, np.minimum(sure, 0.5), sure)  # far from every component
             out = []
             for t, b, s in zip(texts, best, sure):
                 # clear prose stays; what the mixture doubts or puts elsewhere is settled by its line forms
