@@ -121,8 +121,8 @@ def answers(s: State, rows: Iterator[tuple[int, str | None, int]], lim: Limits)
         if s.over:
             yield msg_id, "after the end", s.forced, s.retry_left, len(s.read), s.rolls
             continue
+        before = guard(s, lim)  # by what the request before had used, so the first one is always made
         s.chars += chars
-        before = guard(s, lim)
         got = step(s, reply, lim)
         yield msg_id, " ".join([*before, got]), s.forced, s.retry_left, len(s.read), s.rolls
 
@@ -138,7 +138,7 @@ def replay(messages: DataFrame, context: DataFrame, limits: Limits | None = None
     rows = messages.select("run_id", "session", "turn", "msg_id", "speaker", "text").join(total, "run_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, sent = None, None, 0
+        key, state, sent = object(), None, 0
         for b in batches:
             out = []
             for r, msg, speaker, text, pages in zip(b["run_id"], b["msg_id"], b["speaker"], b["text"], b["pages"]):

@@ -20,12 +20,11 @@ READ = act("read_page", page=1)
 def drive(replies, limits, sent=40, most=12):
     s, out = State(4, limits.retries), []
     for i in range(most):
-        s.chars += sent
         while before := guard(s, limits):
             out += before
-            if before == ["roll"]:
-                continue
-            break
+            if before != ["roll"]:
+                break
+        s.chars += sent
         out.append(step(s, replies[min(i, len(replies) - 1)], limits))
         if s.over:
             break
@@ -45,9 +44,9 @@ def drive(replies, limits, sent=40, most=12):
         ([act("write_memo", memo="note"), act("read_memo", page=1), PUBLISH], {}, "published", {"memo_saved": 1, "memo_deliver": 1}),
         ([act("write_memo", memo=123), PUBLISH], {}, "published", {"memo_reject": 1}),
         ([READ, PUBLISH], {"rolls": 0, "remind": 5}, "published", {"remind": 1}),
-        ([READ, act("help"), PUBLISH], {"rolls": 0, "force": 15}, "published", {"force_publish": 1, "publish_retry": 1}),
-        ([READ, READ, READ], {"rolls": 0, "force": 15, "retries": 1}, "gave up", {"publish_retry": 1}),
-        ([BAD, BAD, BAD, PUBLISH], {"rolls": 0, "force": 15, "retries": 2}, "published", {"publish_retry": 3, "force_publish": 1}),
+        ([READ, act("help"), PUBLISH], {"rolls": 0, "force": 5}, "published", {"force_publish": 1, "publish_retry": 1}),
+        ([READ, READ, READ], {"rolls": 0, "force": 5, "retries": 1}, "gave up", {"publish_retry": 1}),
+        ([BAD, BAD, BAD, PUBLISH], {"rolls": 0, "force": 5, "retries": 2}, "published", {"publish_retry": 3, "force_publish": 1}),
         ([READ, act("read_chatlog", page=1), act("read_chatlog", page=1), PUBLISH], {"force": 5}, "published", {"chatlog_deliver": 2}),
         ([act("read_page", page=True), PUBLISH], {}, "published", {"stall_to_publish": 1}),
         ([act("anything", page=2), PUBLISH], {}, "published", {"page_deliver": 1}),
