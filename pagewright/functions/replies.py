@@ -135,6 +135,11 @@ def page_number(doc: Column) -> Column:
     return F.when(_kind(doc, "$.page") == "BIGINT", F.get_json_object(doc, "$.page").cast("bigint"))
 
 
+def text_field(doc: Column, name: str) -> Column:
+    """A field of the object if it is text; null for anything else."""
+    return F.when(_kind(doc, f"$.{name}") == "STRING", F.get_json_object(doc, f"$.{name}"))
+
+
 def join_parts(parts: Column) -> Column:
     """Content given as parts, joined without separators; null parts count as empty."""
     return F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit(""))), "")

@@ -109,7 +109,7 @@ def memo_pages(replies: DataFrame, page_chars: int = 500, ratio: float = 0.5) ->
     Adding a section only fills on from the last page, so the state per run is that page and a count; ``tail`` is the
     page shown when a session opens.
     """
-    rows = replies.filter("branch = 'write_memo'").select("run_id", "session", "turn", "msg_id", F.get_json_object("doc", "$.memo").alias("memo")).filter("memo is not null")
+    rows = replies.filter("branch = 'write_memo'").select("run_id", "session", "turn", "msg_id", R.text_field(F.col("doc"), "memo").alias("memo")).filter("memo is not null")
     rows = rows.withColumn("parts", F.filter(X.sentences(F.col("memo")), lambda s: F.length(s) <= X.longest_sentence(page_chars, ratio))).drop("memo")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,6 +131,23 @@ def memo_pages(replies: DataFrame, page_chars: int = 500, ratio: float = 0.5) ->
     return rows.repartition("run_id").sortWithinPartitions("run_id", "session", "turn", "msg_id").mapInPandas(fill, "run_id string, msg_id long, section long, pages long, tail string")
 
 
+def last_memos(memos: DataFrame) -> DataFrame:
+    """(run_id, sections, pages, tail) of each run's memo after its last note: what a new session opens with."""
+    last = memos.groupBy("run_id").agg(F.max_by(F.struct("section", "pages", "tail"), "section").alias("m"))
+    return last.select("run_id", F.col("m.section").alias("sections"), "m.pages", "m.tail")
+
+
+def memo_verdicts(replies: DataFrame) -> DataFrame:
+    """(msg_id, branch, verdict) of notes and of requests for pages of notes or history.
+
+    A note that isn't text is rejected; a page must be a whole number from 1, and may be read again.
+    """
+    rows = replies.filter("branch in ('write_memo', 'read_memo', 'read_chatlog')")
+    note = F.when(R.text_field(F.col("doc"), "memo").isNull(), "memo_reject").otherwise("memo_saved")
+    page = F.when(F.coalesce(F.col("page") >= 1, F.lit(False)), "deliver").otherwise("stall")
+    return rows.select("msg_id", "branch", F.when(F.col("branch") == "write_memo", note).otherwise(page).alias("verdict"))
+
+
 def summary_replies(messages: DataFrame) -> DataFrame:
     """(msg_id, valid): whether a reply to a summary request is an object with nothing but a text ``summary``."""
     rows = messages.filter("prompt_key = 'chatlog_summarize_reply'").select("msg_id", R.reply_json(F.col("text")).alias("doc"))

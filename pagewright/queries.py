@@ -181,6 +181,14 @@ def memo_pages(spark, d):
     return M.memo_pages(M.parsed_replies(_log(spark, d)))
 
 
+def doc_tail(spark, d):
+    return M.last_memos(memo_pages(spark, d))
+
+
+def doc_page_guard(spark, d):
+    return M.memo_verdicts(M.parsed_replies(_log(spark, d)))
+
+
 def check_summary(spark, d):
     return M.summary_replies(_log(spark, d))
 
@@ -242,7 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     find_targets, refuse_targets, safe_paths, eligible_members, size_cap, file_count_cap, total_bytes_cap, listing_cap, password_probe, walk_order,
     looks_binary, recognize_text, split_sentences, oversize_sentences, paginate, pack_corpus, ext_stats, metadata_page, catalog_page, packages,
     context_stats, token_estimate, session_stats, message_sessions, prompt_counts, watermark_sessions, raw_roll_body, extract_reply_json,
-    dispatch_actions, page_guard, deliver_pages, pages_read, memo_pages, check_summary, retry_budget, check_template, publish_fill, render_prompt,
+    dispatch_actions, page_guard, deliver_pages, pages_read, memo_pages, doc_tail, doc_page_guard, check_summary, retry_budget, check_template, publish_fill, render_prompt,
     run_ids, registry_state, state_summary, judge_extract, join_content_parts, profile_runs, replay_sessions, session_stream,
 )}
 
@@ -348,8 +356,7 @@ ORACLE: dict[str, str] = {
     "listing_cap": "SELECT target, ord FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord) AS r FROM members) WHERE r <= 10",
     "password_probe": "SELECT target, name, size FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY size, ord) AS r FROM members WHERE NOT coalesce(is_dir, false) AND size > 0) WHERE r = 1",
     "walk_order": f"SELECT doc_id, {_walk('rel')} AS walk_key, {_ext('rel')} AS ext FROM documents WHERE rel IS NOT NULL",
-    "looks_binary": """SELECT doc_id, false AS plain, coalesce(strlen(text) > 0 AND (strlen(text) - length(regexp_replace(text, '[^aeo\\n]', '', 'g'))) / strlen(text)::DOUBLE < 0.9
-        AND (SELECT true), false) AS odd FROM documents WHERE text IS NOT NULL""",
+    "looks_binary": """SELECT doc_id, false AS plain, coalesce(strlen(text) > 0 AND (strlen(text) - length(regexp_replace(text, '[^aeo\\n]', '', 'g'))) / strlen(text)::DOUBLE < 0.9, false) AS odd FROM documents WHERE text IS NOT NULL""",
     "recognize_text": f"SELECT doc_id, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS chars FROM documents WHERE {_ext('rel')} IN ({_among(X.TEXT_SUFFIXES)}) AND strlen(text) > 0",
     "split_sentences": f"WITH {_pieces('documents', 'doc_id')} SELECT doc_id, pos, sentence FROM pieces",
     "oversize_sentences": f"WITH {_pieces('documents', 'doc_id')} SELECT doc_id, count(*) AS dropped_sentences, CAST(sum(length(sentence)) AS BIGINT) AS dropped_chars FROM pieces WHERE length(sentence) > {int(PAGE_CHARS * 0.2)} GROUP BY doc_id",
@@ -376,6 +383,11 @@ ORACLE: dict[str, str] = {
     "page_guard": f"WITH {_GUARD} SELECT msg_id, run_id, CAST(page AS VARCHAR) AS page, verdict FROM guarded",
     "deliver_pages": f"WITH {_REPLIES}, {_PAGES} SELECT j.msg_id, p.page_id, length(p.text) AS chars FROM judged j JOIN pages p ON p.run_id = j.run_id AND p.page_no = j.page WHERE branch = 'read_page'",
     "pages_read": f"WITH {_GUARD} SELECT run_id, count(DISTINCT page) AS n_read, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS read FROM guarded WHERE verdict = 'deliver' GROUP BY run_id",
+    "doc_tail": f"""WITH RECURSIVE {_REPLIES}, notes AS (SELECT run_id, count(*) AS sections, string_agg(json_extract_string(doc, '$.memo'), chr(10) ORDER BY session NULLS FIRST, turn NULLS FIRST, msg_id) AS text
+          FROM judged WHERE branch = 'write_memo' AND json_type(doc, '$.memo') = 'VARCHAR' GROUP BY run_id), {_pieces('notes', 'run_id')}, {_paged('run_id', 500, 0.5)}
+        SELECT n.run_id, sections, count(page_no) AS pages, coalesce(arg_max(f.text, page_no), '') AS tail FROM notes n LEFT JOIN filled f ON f.run_id = n.run_id GROUP BY n.run_id, sections""",
+    "doc_page_guard": f"""WITH {_REPLIES} SELECT msg_id, branch, CASE WHEN branch = 'write_memo' THEN CASE WHEN coalesce(json_type(doc, '$.memo') = 'VARCHAR', false) THEN 'memo_saved' ELSE 'memo_reject' END
+        WHEN coalesce(page >= 1, false) THEN 'deliver' ELSE 'stall' END AS verdict FROM judged WHERE branch IN ('write_memo', 'read_memo', 'read_chatlog')""",
     "check_summary": f"""WITH {_ONCE}, s AS (SELECT msg_id, nullif(regexp_extract(text, '(?s)\\{{.*\\}}'), '') AS cut FROM log WHERE prompt_key = 'chatlog_summarize_reply')
         SELECT msg_id, coalesce(json_valid(cut) AND json_keys(CASE WHEN json_valid(cut) THEN cut END) = ['summary'] AND json_type(CASE WHEN json_valid(cut) THEN cut END, '$.summary') = 'VARCHAR'
           AND {_strip("json_extract_string(CASE WHEN json_valid(cut) THEN cut END, '$.summary')")} <> '', false) AS valid FROM s""",
