@@ -8,7 +8,7 @@ spread over many groups of bounded size and only the blocks' results meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import first_arrival
 
@@ -53,12 +53,10 @@ def conversation_states(messages: DataFrame) -> DataFrame:
     turns, turns that don't run 1..n and unknown or null roles break a conversation.  Null run or session form keys of
     their own.  No rows, no conversations.
     """
-    rows = first_arrival(messages.select("msg_id", "run_id", "session", "turn", "role", "text", "logged_at"), "msg_id", "logged_at")
+    slim = messages.select("msg_id", "run_id", "session", "turn", "logged_at", _symbol(clean_role(F.col("role")), F.col("text")).alias("sym"))
+    rows = first_arrival(slim, "msg_id", "logged_at")  # texts stay where they are
     keys = ["run_id", "session"]
-    role = clean_role(F.col("role"))
-    turns = rows.groupBy(*keys, "turn").agg(
-        F.count("*").alias("n"), F.min(_symbol(role, F.col("text"))).alias("sym"), F.first("turn").alias("t")
-    )
+    turns = rows.groupBy(*keys, "turn").agg(F.count("*").alias("n"), F.min("sym").alias("sym"))
     bad = (F.col("n") > 1) | F.col("turn").isNull() | (F.col("turn") < 1)
     turns = turns.select(
         *keys, F.coalesce("turn", F.lit(0)).alias("turn"), "n",
@@ -84,13 +82,26 @@ def broken_conversations(messages: DataFrame) -> DataFrame:
     return conversation_states(messages).filter(~F.col("keep")).select("run_id", "session")
 
 
+def kept_rows(messages: DataFrame) -> DataFrame:
+    """Rows of the conversations that are kept, each turn once, with their ``block``, ``speaker`` and whether there are ``many`` blocks.
+
+    Hash-partitioned by run, session and block of turns, which later windows reuse: texts are moved once, and a
+    conversation that holds a third of all rows lies in many partitions.  In a kept conversation two rows of one turn
+    are arrivals of one message; the first by ``logged_at`` stays.
+    """
+    blocks = conversation_states(messages).filter("keep").select(
+        F.col("run_id").alias("__r"), F.col("session").alias("__s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("turns") - 1) / BLOCK).cast("bigint"))).alias("__b"), (F.col("turns") > BLOCK).alias("many")
+    )
+    rows = messages.select("msg_id", "run_id", "session", "turn", "role", "text", "prompt_key", "logged_at").withColumn("block", F.floor((F.col("turn") - 1) / BLOCK).cast("bigint"))
+    same = F.col("run_id").eqNullSafe(F.col("__r")) & F.col("session").eqNullSafe(F.col("__s")) & F.col("block").eqNullSafe(F.col("__b"))
+    w = W.partitionBy("run_id", "session", "block").orderBy("turn", F.col("logged_at").isNull(), "logged_at")
+    first = rows.join(blocks, same).drop("__r", "__s", "__b").withColumn("__before", F.lag("turn").over(w)).filter("__before is null or __before <> turn")
+    return first.drop("__before", "logged_at").withColumn("speaker", clean_role(F.col("role"))).drop("role")
+
+
 def rebuild_conversations(messages: DataFrame) -> DataFrame:
     """The rows of the conversations that are kept: run_id, session, turn, msg_id, speaker, prompt_key, text.
 
-    Sorted within partitions by conversation and turn; every column of a row comes from its first arrival.
+    In order of turns within each block of a conversation; every column of a row comes from its first arrival.
     """
-    kept = conversation_states(messages).filter("keep").select(F.col("run_id").alias("__r"), F.col("session").alias("__s"))
-    rows = first_arrival(messages.select("msg_id", "run_id", "session", "turn", "role", "text", "prompt_key", "logged_at"), "msg_id", "logged_at")
-    same = F.col("run_id").eqNullSafe(F.col("__r")) & F.col("session").eqNullSafe(F.col("__s"))
-    out = rows.join(kept, same, "left_semi")
-    return out.select("run_id", "session", "turn", "msg_id", clean_role(F.col("role")).alias("speaker"), "prompt_key", "text")
+    return kept_rows(messages).select("run_id", "session", "turn", "msg_id", "speaker", "prompt_key", "text")

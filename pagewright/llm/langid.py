@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Pages per declared language the model is fitted on, drawn by hash; documented bound of the training sample.
-SAMPLE_PAGES = 1500
+SAMPLE_PAGES = 500
 #: Longest n-grams of the backoff.
 LONGEST = 4
 _UNSPACED = "一-鿿㐀-䶿぀-ヿ฀-๿"
 _WORDS = re.compile(rf"[{_UNSPACED}]+|[^\W\d_{_UNSPACED}]+(?:[’'\-][^\W\d_{_UNSPACED}]+)*[ऀ-ॿ]*|[ऀ-ॿ]+")
-_NAMES = re.compile(r"\S*\w[._/\\]\w\S*|\S*\d\S*")  # file names, paths, versions: no language of their own
+_NAMED = re.compile(r"\d|\w[._/\\]\w")  # file names, paths, versions: no language of their own
+_OTHERS = re.compile(rf"[^{_UNSPACED}]+")
 _HEADING = re.compile(r"^##\s.*$", re.M)
 
 # fixed values: labels that name a language, in the spellings of ISO 639 codes and English names
@@ -45,17 +46,29 @@ def declared(label: Column) -> Column:
     return F.coalesce(code, other)
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words; runs of unspaced scripts are cut into pieces of two characters."""
+def _token_words(tok: str) -> list[str]:
+    if _NAMED.search(tok):
+        tok = _OTHERS.sub(" ", tok)
     out = []
-    for w in _WORDS.findall(_NAMES.sub(lambda m: re.sub(rf"[^{_UNSPACED}]+", " ", m.group()), text).lower()):
-        if re.match(f"[{_UNSPACED}]", w):
+    for w in _WORDS.findall(tok):
+        if "\u0e00" <= w[0] <= "\u0e7f" or "\u3040" <= w[0] <= "\u9fff":
             out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
         else:
             out.append(w)
     return out
 
 
+def words(text: str) -> list[str]:
+    """Lower-case words; runs of unspaced scripts are cut into pieces of two characters."""
+    out: list[str] = []
+    for tok in text.lower().split():
+        if tok.isalpha() and tok[-1] < "\u0900":
+            out.append(tok)
+        else:
+            out += _token_words(tok)
+    return out
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"^{word}$"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -71,6 +84,7 @@ class LanguageModel:
             total = np.sum(list(table.values()), axis=0) + 1.0 if table else np.ones(len(langs))
             self.tables[level] = {k: np.log((np.array(v) + 0.3) / (total + 0.3 * len(table))) for k, v in table.items()}
         self.cache: dict[str, np.ndarray] = {}
+        self.tokens: dict[str, np.ndarray] = {}
 
     def score(self, word: str) -> np.ndarray:
         """Log frequency of the word per language, or of its longest known n-grams; differences are what counts."""
@@ -91,21 +105,29 @@ class LanguageModel:
         self.cache[word] = out = np.clip(out - out.max(), -8.0, 0.0)
         return out
 
+    def token(self, tok: str) -> np.ndarray:
+        """Summed scores of the words of a token without white space."""
+        got = self.tokens.get(tok)
+        if got is None:
+            got = np.zeros(len(self.langs))
+            for w in words(tok):
+                got = got + self.score(w)
+            if len(self.tokens) > 300_000:
+                self.tokens.clear()
+            self.tokens[tok] = got
+        return got
+
     def evidence(self, text: str) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        for w in words(text):
-            total = total + self.score(w)
-        return total
+        toks = text.split()
+        return np.sum([self.token(t) for t in toks], axis=0) if toks else np.zeros(len(self.langs))
 
     def around(self, toks: list[str], before: int = 10, after: int = 3) -> list[str]:
         """Language of the words around each of the tokens."""
         if not toks:
             return []
-        each = np.array([np.sum([self.score(w) for w in words(t)] or [np.zeros(len(self.langs))], axis=0) for t in toks])
-        sums = np.vstack([np.zeros(len(self.langs)), np.cumsum(each, axis=0)])
-        n = len(toks)
-        at = np.arange(n)
-        window = sums[np.minimum(n, at + after + 1)] - sums[np.maximum(0, at - before)]
+        sums = np.vstack([np.zeros(len(self.langs)), np.cumsum([self.token(t) for t in toks], axis=0)])
+        at = np.arange(len(toks))
+        window = sums[np.minimum(len(toks), at + after + 1)] - sums[np.maximum(0, at - before)]
         return [self.langs[i] for i in window.argmax(axis=1)]
 
     def best(self, text: str) -> tuple[str | None, float]:
@@ -134,11 +156,11 @@ def _merge(table: pd.DataFrame) -> pd.DataFrame:
     """Gives a label the words of which are those of a more frequent label to that label: it is a mistake, no language."""
     w = table[table.level == "w"].pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)
     by_size = list(w.sum().sort_values(ascending=False).index)
-    unit = w / np.sqrt((w**2).sum())
+    share = w / w.sum()
     into: dict = {}
     for i, small in enumerate(by_size):
         for big in by_size[:i]:
-            if big not in into and float((unit[small] * unit[big]).sum()) > 0.8:
+            if big not in into and float(np.minimum(share[small], share[big]).sum()) > 0.5:
                 into[small] = big
                 break
     return table.assign(lang=table["lang"].replace(into)).groupby(["lang", "level", "gram"], as_index=False)["n"].sum()

@@ -118,7 +118,8 @@ def test_requests_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(conversations, "BLOCK", 3)
     roles = ["system", "user", "assistant", "assistant", "assistant", "assistant", "assistant", "assistant", "user", "assistant", "assistant"]
     rows = [(i, "a", 1, i, r, f"{r}{i}") for i, r in enumerate(roles, 1)]
-    got = {r["msg_id"]: r["request"] for r in pairs._pairs(conversation(spark, [*rows, rows[3]])).collect()}
+    m = conversation(spark, [*rows, rows[3]])
+    got = {r["msg_id"]: r["request"] for df in (pairs._pairs(m).filter("not late"), pairs._late_pairs(m)) for r in df.collect()}
     assert got == {i: "user9" if i > 9 else "user2" for i, r in enumerate(roles, 1) if r == "assistant"}
 
 
@@ -162,7 +163,8 @@ def test_shortened_versions_and_limits(spark):
     df = spark.createDataFrame([(t,) for t in texts], "body string")
     distinct = sorted({t for t in texts if t})
     want = {t for t, n in zip(distinct, distinct[1:]) if len(t) >= 20 and n.startswith(t)}
-    assert {r["body"] for r in pairs.shortened(df).filter("longer").collect()} == want
+    known = {r["h"]: r["body"] for r in df.select(F.xxhash64("body").alias("h"), "body").collect()}
+    assert {known[r["h"]] for r in pairs.shortened(df).filter("longer").collect()} == want
     cut = spark.createDataFrame([("x" * 50,)] * 40 + [("y" * n,) for n in range(30, 70)], "body string")
     assert [r["size"] for r in pairs.length_limits(cut).collect()] == [50]
 
