@@ -28,7 +28,7 @@ _UNSPACED = "一-鿿㐀-䶿぀-ヿ฀-๿"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+[ऀ-ॿ]*")
 _ENDS = ".!?…。！？।:"
 _ENTRY = re.compile(
-    r"^\s*(?:[-*•+–·▪◦‣►»]\s+\S|\(?\d{1,3}[.):]\s|\(?[a-zA-Zа-яА-Я][.)]\s|\[[ xX✓✗]?\]\s|[│|`]*\s*[├└+|`][─\-]+|[0-9a-fA-F]{8,64}\s+\*?\S+$|[\w.\-]+(?: [\w.\-]+){0,3}\s*[=:：]\s*\S|\S+\.\w{2,4}(?:\s+\(?\d[\d.,]*\s*\w*\)?)?$|\S+/$)"
+    r"^\s*(?:[-*•+–·▪◦‣►»]\s+\S|\(?\d{1,3}[.):]\s|\(?[a-zA-Zа-яА-Я][.)]\s|\[[ xX✓✗]?\]\s|[│|`]*\s*[├└+|`][─\-]+|[0-9a-fA-F]{8,64}\s+\*?\S+$|[\w.\-]+(?: [\w.\-]+){0,3}\s*[=:：]\s*\S|\S+\.\w{2,4}(?:\s+\(?\d[\d.,]*\s*\w*\)?)?$|\S+/$|\S.{0,60} / \S.{0,60}[^.!?。！？।]$)"
 )
 _VOWELS = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýąęóаеёиоуыэюяіїє]", re.I)
 _SENTENCE = re.compile(r"\w\S*(?:\s+\S+){3,}[.!?…。！？।][\"'”»’)]*\s*$")
@@ -127,10 +127,13 @@ def exact_kind(text: str, common: set[str]) -> str:
     if n >= 4 and max(Counter(x.strip() for x in lines).values()) > 0.6 * n:
         return "junk"
     words = [w.lower() for w in _WORD.findall("\n".join(lines))]
+    misread = [c for c in text if "\x80" <= c < "\u0250"]  # another script read with a Western page: prose stays prose
+    if len(misread) > 0.3 * len(text) and len(set(misread)) >= 12 and max(s["rows"], s["entries"]) <= 0.5:
+        return "prose"
     if len(words) >= 24:  # one phrase over and over, also within a line
         if phrase_share(words) > 0.15 or len(set(words)) < 4:
             return "junk"
-    if s["chunks"] > 0.5:
+    if s["chunks"] > 0.5 and (s["rows"] < 0.75 or n < 3):
         return "junk"
     if s["rows"] > 0.5 and n >= 3 and s["letters"] + s["digits"] > 0.5:
         return "table"
@@ -151,7 +154,7 @@ def unreadable(lines: list[str], words: list[str], s: dict[str, float]) -> bool:
     if s["letters"] < 0.5 and s["digits"] < 0.4:
         return True
     latin = [w for w in words if w[0] < "ѐ"]
-    mixed = sum(bool(re.search(r"\w[^\w\s.,'’\-/@:]+\w", c)) or bool(re.search(r"[a-zа-я][A-ZА-Я0-9]+[a-zа-я]", c)) for c in chunks)
+    mixed = sum(max(c) < "\u0250" and bool(re.search(r"\w[^\w\s.,'’\-/@:]+\w|[a-z][A-Z0-9]+[a-z]", c)) for c in chunks)
     return s["odd_words"] > 0.25 and s["common"] < 0.06 or bool(latin) and s["common"] < 0.06 and mixed > 0.4 * len(chunks)
 
 
@@ -166,6 +169,12 @@ def page_statistics(pages: DataFrame, common: set[str], text: str = "text") -> C
     return F.pandas_udf(stats, "array<double>")(F.col(text))
 
 
+def formed(stats: np.ndarray) -> bool:
+    """Whether the lines of a page have forms that prose lacks, although its other statistics may be those of prose."""
+    s = dict(zip(STATS, stats))
+    return s["entries"] > 0.4 or s["rows"] > 0.4 or s["chunks"] > 0.3 or s["phrase"] > 0.1 or s["repeats"] > 0.4
+
+
 class Mixture:
     """Gaussian mixture with diagonal covariances on standardized statistics."""
 
@@ -266,9 +275,9 @@ def classify_pages(pages: DataFrame, common_words: DataFrame, key: str = "page_i
             if len(stats):
                 sure = np.where(now.distance(np.stack(stats.to_numpy())) > 6, np.minimum(sure, 0.5), sure)  # far from every component
             out = []
-            for t, b, s in zip(texts, best, sure):
-                # clear prose stays; what the mixture doubts or puts elsewhere is settled by its line forms
-                out.append((int(b), names[b], float(s), exact_kind(t or "", known) if s < 0.999 or not t else "prose"))
+            for t, b, s, x in zip(texts, best, sure, stats):
+                # clear prose stays; what the mixture doubts or puts elsewhere, or has other line forms, is settled by these
+                out.append((int(b), names[b], float(s), exact_kind(t or "", known) if s < 0.999 or not t or formed(x) else "prose"))
             yield pd.DataFrame(out, columns=["component", "mixture_kind", "prose_share", "page_kind"])
 
     got = F.pandas_udf(kind, "component int, mixture_kind string, prose_share double, page_kind string")("stats", "t")
