@@ -11,6 +11,7 @@ no statistics.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"\.{2,}[!?]*|…+[!?！？]*|[.!?]+|[。！？]+|।+|(?<=[฀-๿])[ \t\r\n]+(?=[฀-๿])")
 _THAI_SPACE = re.compile(r"[ \t\r\n]+")
 _BLANK = re.compile(r"\n[ \t\r\f\v]*\n\s*")
+_HEADING = re.compile(r"^##\s.*$", re.M)
+_NOISE = set("[]{}|~$<>^=*#@\\§°¬")  # a few may stand in a sentence, many make it corrupted text
 _HIRAGANA = re.compile("[぀-ゟ]")
 
 
@@ -59,33 +62,47 @@ def _follow(token: str) -> str:
     return "lower" if core[0].islower() or core[0] in ",;:)" else "upper"
 
 
+@functools.lru_cache(1 << 17)
+def _features(tok: str) -> tuple[str, str, str, str]:
+    """(dot, mark or plain; type before a period; what it is after one; type as a start) of a token."""
+    bare = tok.rstrip(CLOSERS)
+    if bare.endswith(".") and not bare.endswith(".."):
+        kind, t = "dot", _type(_core(bare[:-1]))
+    else:
+        kind, t = "mark" if bare[-1:] in ("!", "?") else "plain", _type(_core(bare))
+    return kind, t if len(t) <= 12 else "", _follow(tok), _type(_core(tok).rstrip("."))
+
+
 def _observe(texts: Iterator[str], known: LanguageModel) -> pd.DataFrame:
     """Partial counts of one batch: (lang, kind, a, b, n); the language is that of the words around."""
     out: Counter = Counter()
     for text in texts:
         for block in _BLANK.split(text):
-            toks = _TOKEN.findall(re.sub(r"^##\s.*$", "", block, flags=re.M))
-            langs = known.around(toks)
-            for i, tok in enumerate(toks):
-                lang, bare = langs[i], tok.rstrip(CLOSERS)
+            toks = _TOKEN.findall(_HEADING.sub("", block) if "## " in block else block)
+            if not toks:
+                continue
+            langs, seen = known.around(toks), [_features(t) for t in toks]
+            for i, (kind, t, _, _) in enumerate(seen):
+                if kind == "plain":
+                    if t:
+                        out[(langs[i], "plain", t, "")] += 1
+                    continue
                 k = i + 1
                 while k < len(toks) and not toks[k].strip(CLOSERS):  # French sets a space before its closing quotes
                     k += 1
-                nxt = toks[k] if k < len(toks) else None
-                if bare.endswith(".") and not bare.endswith(".."):
-                    t = _type(_core(bare[:-1]))
-                    if not t or len(t) > 12:
-                        continue
-                    out[(lang, "dot", t, "")] += 1
-                    if nxt:
-                        out[(lang, "after", t, _type(_core(nxt).rstrip(".")) if (f := _follow(nxt)) == "upper" else f)] += 1
+                follow, start = seen[k][2:] if k < len(toks) else ("", "")
+                if kind == "dot":
+                    if t:
+                        out[(langs[i], "dot", t, "")] += 1
+                        if follow:
+                            out[(langs[i], "after", t, start if follow == "upper" else follow)] += 1
                 else:
-                    if (t := _type(_core(bare))) and len(t) <= 12:
-                        out[(lang, "plain", t, "")] += 1
-                    if nxt and bare[-1:] in "!?" and _follow(nxt) == "upper" and (t := _type(_core(nxt).rstrip("."))):
-                        out[(langs[k], "start", t, "")] += 1
-            if toks and _follow(toks[0]) == "upper" and (t := _type(_core(toks[0]).rstrip("."))):
-                out[(langs[0], "start", t, "")] += 1
+                    if t:
+                        out[(langs[i], "plain", t, "")] += 1
+                    if follow == "upper" and start:
+                        out[(langs[k], "start", start, "")] += 1
+            if seen[0][2] == "upper" and seen[0][3]:
+                out[(langs[0], "start", seen[0][3], "")] += 1
     return pd.DataFrame([(*k, n) for k, n in out.items()], columns=["lang", "kind", "a", "b", "n"])
 
 
@@ -172,8 +189,8 @@ def _quotes(block: str) -> list[tuple[int, int]]:
 
 def _split_block(block: str, known: LanguageModel, model: dict) -> Iterator[tuple[int, int]]:
     """Spans of sentences in a text without blank lines and headings; each period is judged in the language around it."""
-    toks = list(_TOKEN.finditer(block))
-    langs, begins = known.around([t.group() for t in toks]), [t.start() for t in toks]
+    langs: list[str] = []
+    begins: list[int] = []
     lang = ""
 
     def has(word: str, kind: str) -> bool:
@@ -214,6 +231,9 @@ def _split_block(block: str, known: LanguageModel, model: dict) -> Iterator[tupl
             if follow == "lower":
                 continue
             if mark == ".":
+                if not langs:
+                    toks = list(_TOKEN.finditer(block))
+                    langs, begins = known.around([t.group() for t in toks]), [t.start() for t in toks]
                 lang = langs[max(0, bisect.bisect_right(begins, m.start()) - 1)]
                 before = re.search(r"\S+$", block[start : m.start()])
                 raw = before.group() if before else ""
@@ -313,7 +333,7 @@ def find_languages(pages: DataFrame, languages: tuple, periods: dict, key: str =
 def is_sentence(unit: str) -> bool:
     """Whether a unit is worded as a sentence: ends with a full stop, mark or Thai letter and holds letters enough."""
     letters = sum(c.isalpha() for c in unit)
-    if letters < 8 or letters < 0.4 * len(unit):
+    if letters < 8 or letters < 0.4 * len(unit) or sum(c in _NOISE for c in unit) > 0.05 * len(unit):
         return False
     bare = unit.rstrip(CLOSERS + " \xa0")
     return bare[-1:] in ".!?…。！？।" or "฀" <= bare[-1:] <= "๿"
