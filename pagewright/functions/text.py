@@ -27,8 +27,7 @@ def is_blank(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of stripped, non-empty pieces, each ending behind a sentence end; the rest without one comes last."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]+$"), F.lit(0))
-    return F.filter(F.transform(pieces, strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[{ENDS}])", -1), strip), lambda s: s != "")
 
 
 def longest_sentence(page_chars: int, ratio: float) -> int:
