@@ -1,9 +1,12 @@
 """Problem 4: defective pairs of request and reply.
 
-Distinct reply bodies are sorted by text; a body that is a proper prefix of its
-neighbour is a shortened version.  Lengths at which far more unfinished bodies
-end than at the lengths around them are limits of the writer.  Rules for
-empty, copied, refusing and foreign replies then name the defect.
+A body without a closing mark breaks off by itself, with or without a longer
+version among the replies.  For all other bodies, and for the words of cut JSON,
+distinct bodies are sorted by text; one that is a proper prefix of its neighbour
+is a shortened version, and what follows there tells whether it stops inside a
+sentence.  Lengths at which far more unfinished bodies end than at the lengths
+around them are limits of the writer.  Rules for empty, copied, refusing and
+foreign replies then name the defect.
 """
 
 from __future__ import annotations
@@ -47,6 +50,10 @@ REFUSAL = re.compile(
         )
     )
 )
+#: The words of a reply within JSON that may be cut; the last value may lack its end.
+_FIELD = re.compile(r'"(?:summary|memo|text|answer)"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+#: Dots that end no sentence by themselves: initials and letters of abbreviations, words before numbers, ordinals behind an article.
+_INNER_DOT = re.compile(r"(?:^|[\s(\[\"'“„«.])(?:[^\W\d_]|nr|no|núm|vol|abb|bzw|ca|vgl|fig|dr|mr|mrs|prof|sr|sra|стр|рис|(?:am|vom|zum|der|dem|den|des|im|bis) \d{1,2})\.$", re.I)
 _SORRY = re.compile(r"^(?:i(?:'m| am) (?:very )?sorry|sorry|thank you[^.]*|unfortunately|tut mir leid|leider|entschuldigung|désolé|pardon|lo siento|disculpe|извините|простите|к сожалению|很?抱歉|对不起)[\s,.!，。！]*$", re.I)
 
 
@@ -66,7 +73,7 @@ def unwrap(text: str | None) -> tuple[str, str]:
         try:
             value = json.loads(t, strict=False)
         except ValueError:
-            return ("broken", prefix) if t.startswith("{") else ("text", t)
+            return ("broken", _cut_words(t)) if t.startswith("{") else ("text", t)
         if isinstance(value, str):
             return ("text", value) if value.strip() else ("empty", "")
         if isinstance(value, dict):
@@ -81,6 +88,17 @@ def unwrap(text: str | None) -> tuple[str, str]:
     return "text", (prefix + "\n" + t if prefix else t)
 
 
+def _cut_words(t: str) -> str:
+    """The words of a JSON object that doesn't parse, as far as they go."""
+    words = []
+    for value in _FIELD.findall(t):
+        try:
+            words.append(json.loads(f'"{value}"', strict=False))
+        except ValueError:  # cut within an escape
+            words.append(value)
+    return "\n".join(w for w in words if w.strip())
+
+
 def own_wording(request: str) -> str:
     """What the writer of a request worded: its lines before the material it delivers."""
     return request.split("\n", 1)[0]
@@ -139,6 +157,27 @@ def breaks_off(body: str) -> bool:
     return bare[-1] not in _ENDS and not "฀" <= bare[-1] <= "๿"
 
 
+def stops_inside(body: str, rest: str) -> bool:
+    """Whether a body whose longer version goes on with ``rest`` stops inside a sentence, also behind a dot."""
+    bare, goes_on = body.rstrip(_CLOSE), rest.lstrip()
+    if not bare or not goes_on or "\n" in body[len(bare) :] + rest[: len(rest) - len(goes_on)]:
+        return breaks_off(body)
+    if "฀" <= bare[-1] <= "๿":
+        return body == bare and rest == goes_on  # a space between Thai letters ends a sentence
+    if bare[-1] not in _ENDS:
+        return breaks_off(body)
+    if bare[-1] != "." or bare.endswith(".."):
+        return False
+    if body == bare and rest == goes_on and goes_on[0].isalnum():
+        return True  # 3.5, z.B., notes.txt
+    return goes_on[0].islower() or inner_dot(body)
+
+
+def inner_dot(body: str) -> bool:
+    """Whether a body ends in a dot that ends no sentence by itself."""
+    return bool(_INNER_DOT.search(body.rstrip()[-40:]))
+
+
 def _near(messages: DataFrame) -> DataFrame:
     """Replies of kept conversations with ``near``, the nearest user row before in the same block of turns."""
     rows = kept_rows(messages)
@@ -179,7 +218,7 @@ def run_languages(messages: DataFrame, languages: tuple) -> DataFrame:
         for col in cols:
             out = []
             for t in col:
-                line = re.sub(r"\S*[\d/\\_]\S*", " ", own_wording(t or "")[:400])
+                line = re.sub(r"\S*[\d/\\_]\S*", " ", own_wording(t or ""))
                 if line not in seen:
                     lang, sure = known.best(line)
                     seen[line] = lang if sure > 0.8 else None
@@ -193,7 +232,8 @@ def run_languages(messages: DataFrame, languages: tuple) -> DataFrame:
 
 
 def shortened(bodies: DataFrame) -> DataFrame:
-    """(h, longer): hashes of distinct bodies; ``longer`` tells a proper prefix of the next one in text order.
+    """(h, longer, inside): hashes of distinct bodies; ``longer`` tells a proper prefix of the next one in text order,
+    ``inside`` one that the next shows to stop inside a sentence.
 
     Range partitions keep neighbours together and are read in order; one row per partition carries its first and last
     body, with which the last of each is judged.
@@ -209,22 +249,28 @@ def shortened(bodies: DataFrame) -> DataFrame:
                 if last is None:
                     first = body
                 else:
-                    rows.append((last[0], _prefix(last[1], body), None, None, None))
+                    rows.append((last[0], *_shown(last[1], body), None, None, None))
                 last = (h, body)
-            yield pd.DataFrame(rows, columns=["h", "longer", "part", "first", "last"])
+            yield pd.DataFrame(rows, columns=["h", "longer", "inside", "part", "first", "last"])
         if last:
-            yield pd.DataFrame([(last[0], False, part, first, last[1])], columns=["h", "longer", "part", "first", "last"])
+            yield pd.DataFrame([(last[0], False, False, part, first, last[1])], columns=["h", "longer", "inside", "part", "first", "last"])
 
-    found = cut(placed.mapInPandas(compare, "h long, longer boolean, part long, first string, last string"))
+    found = cut(placed.mapInPandas(compare, "h long, longer boolean, inside boolean, part long, first string, last string"))
     edges = found.filter("part is not null").orderBy("part").collect()  # one row per partition
-    late = [a["h"] for a, b in zip(edges, edges[1:]) if _prefix(a["last"], b["first"])]
-    return found.select("h", (F.col("longer") | F.col("h").isin(late) if late else F.col("longer")).alias("longer"))
+    shown = [(a["h"], *_shown(a["last"], b["first"])) for a, b in zip(edges, edges[1:])]
+    late = {"longer": [h for h, longer, _ in shown if longer], "inside": [h for h, _, inside in shown if inside]}
+    return found.select("h", *[(F.col(c) | F.col("h").isin(hs) if hs else F.col(c)).alias(c) for c, hs in late.items()])
 
 
 def _prefix(short: str, long: str) -> bool:
     return len(short) >= 20 and long != short and long.startswith(short)
 
 
+def _shown(short: str, long: str) -> tuple[bool, bool]:
+    longer = _prefix(short, long)
+    return longer, longer and stops_inside(short, long[len(short) :])
+
+
 def length_limits(bodies: DataFrame) -> DataFrame:
     """(size): lengths at which more unfinished bodies end than at all twenty lengths around them together."""
     unfinished = bodies.filter(~F.regexp_replace("body", r"[\s\"'”’»)\]`]+$", "").rlike(f"[{_ENDS}]$")).groupBy(F.length("body").alias("size")).agg(F.count("*").alias("n"))
@@ -253,22 +299,22 @@ def find_defects(messages: DataFrame, languages: tuple) -> DataFrame:
         pairs = pairs.filter("not late").drop("late").unionByName(late)
     pairs = pairs.withColumn("h", F.xxhash64("body")).withColumn("size", F.length("body"))
     texts = pairs.select("body").filter("body <> ''")
-    longer = shortened(texts).filter("longer")
+    longer = shortened(texts).filter("inside").select("h", "inside")
     limits = length_limits(texts).select(F.col("size"), F.lit(True).alias("limited"))
     joined = pairs.select("run_id", "msg_id", "verdict", "open", "lang", "h", "size").join(longer, "h", "left").join(limits, "size", "left").join(run_languages(messages, languages), "run_id", "left")
-    shorter = (F.coalesce("longer", F.lit(False)) | F.coalesce("limited", F.lit(False))) & F.col("open")
+    shorter = F.coalesce("inside", F.lit(False)) | F.coalesce("limited", F.lit(False)) & F.col("open")
     foreign = F.col("lang").isNotNull() & F.col("asked").isNotNull() & (F.col("lang") != F.col("asked"))
     defect = F.when(F.col("verdict") != "", F.col("verdict")).when(shorter, F.lit("truncated")).when(foreign, F.lit("other_language"))
     return joined.select("msg_id", defect.alias("defect")).filter("defect is not null").distinct()
 
 
 def _judge(reply: str | None, request: str, known: LanguageModel) -> tuple[str, str, bool, str | None]:
-    """(body, verdict or '', whether the body stops without an end, its language if sure)."""
+    """(body, verdict or '', whether the body stops without an end that is sure, its language if sure)."""
     form, body = unwrap(reply)
     if form == "empty":
         return "", "empty", False, None
     if form != "text":
-        return "", "truncated" if form == "broken" else "", False, None
+        return body, "truncated" if form == "broken" else "", False, None
     if is_copy(body, request):
         return body, "copy", False, None
     if is_refusal(body):
@@ -278,4 +324,4 @@ def _judge(reply: str | None, request: str, known: LanguageModel) -> tuple[str,
     if _BARE.match(body.strip()):
         return body, "", False, None
     got, sure = known.best(body)
-    return body, "", body.rstrip(_CLOSE)[-1:] not in _ENDS, got if sure > 0.9 else None
+    return body, "", body.rstrip(_CLOSE)[-1:] not in _ENDS or inner_dot(body), got if sure > 0.9 else None

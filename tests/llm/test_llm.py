@@ -169,6 +169,27 @@ def test_shortened_versions_and_limits(spark):
     assert [r["size"] for r in pairs.length_limits(cut).collect()] == [50]
 
 
+def test_cut_behind_a_dot(spark, models):
+    start = "Nobody knows who left the old map there, but it was opened on "
+    whole = {"ordinal": (start + "den 3.", " Oktober by the reader."), "number": (start + "page 3.", "5 of the book."), "low": (start + "the box etc.", " and so on."), "full": (start + "that day.", " The reader opens the box.")}
+    roles = ["system", "user", "assistant"]
+    rows = [(n * 10 + i, f"r{n}", 1, i + 1, roles[i], t) for n, b in enumerate([b for a, z in whole.values() for b in (a, a + z)]) for i, t in enumerate(["You answer in English and the reader opens the box.", "Who left the old map in the small box?", b])]
+    got = {r["msg_id"]: r["defect"] for r in pairs.find_defects(conversation(spark, rows), models[0]).collect()}
+    assert got == {r[0]: "truncated" for r in rows if r[5] in [a for k, (a, _) in whole.items() if k != "full"]}
+    assert pairs.unwrap('{"action": "publish", "identity": {"summary": "The map is \\"old\\" and') == ("broken", 'The map is "old" and')
+    assert pairs.stops_inside("他来自远", "方。") and not pairs.stops_inside("他来自远方。", "他走了。") and pairs.stops_inside("ฉันไป", "บ้าน") and not pairs.stops_inside("ฉันไป", " บ้าน")
+
+
+def test_limit_behind_a_dot(spark, models):
+    rng = random.Random(4)
+    roles = ["system", "user", "assistant"]
+    ends = ["".join(rng.choices("abcdefgh ", k=50)).strip().ljust(50, "x") for _ in range(12)] + ["The reader left the old map there and opened it z.", "The reader left the old map there, and opened box."]
+    rows = [(n * 10 + i, f"r{n}", 1, i + 1, roles[i], t) for n, b in enumerate(ends) for i, t in enumerate(["You answer in English and the reader opens the box.", "Who left the old map in the small box?", b])]
+    assert len(ends[-2]) == len(ends[-1]) == 50
+    got = {r["msg_id"]: r["defect"] for r in pairs.find_defects(conversation(spark, rows), models[0]).collect()}
+    assert got.get(122) == "truncated" and got.get(132) is None
+
+
 # 5 languages
 
 
