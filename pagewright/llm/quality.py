@@ -2,9 +2,10 @@
 
 A Gaussian mixture is fitted by expectation-maximization on standardized
 statistics of all pages: each round is one Spark pass whose tasks return only
-their sufficient statistics.  Components get a kind from inspected examples;
-an exact look at the line forms of the pages outside the prose components
-settles the rest.
+their sufficient statistics.  It starts from the mean and the farthest of all rows.
+Components get a kind from inspected examples.  Pages outside the prose components, or with line forms
+that prose lacks, get an exact look at these forms; where they have none that
+is known and don't read as sentences, the kind of their component holds.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut
 
 COMPONENTS, ROUNDS = 14, 12
-#: Pages the first component centres are drawn from, by hash; documented bound of that sample.
-START_SAMPLE = 4000
 STATS = ("words", "word_length", "symbols", "digits", "ends", "common", "entries", "rows", "repeats", "letters", "line_length", "odd_words", "chunks", "phrase")
 _UNSPACED = "一-鿿㐀-䶿぀-ヿ฀-๿"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+[ऀ-ॿ]*")
@@ -117,8 +116,8 @@ EXAMPLES = {
 }
 
 
-def exact_kind(text: str, common: set[str]) -> str:
-    """Kind by the forms of the lines: what most of them are."""
+def line_kind(text: str, common: set[str]) -> str:
+    """Kind by the forms of the lines: what most of them are; empty if they have none of these forms."""
     lines = body_lines(text)
     if not lines:
         return "junk"
@@ -141,7 +140,21 @@ def exact_kind(text: str, common: set[str]) -> str:
         return "list"
     if unreadable(lines, words, s):
         return "junk"
-    return "prose"
+    return ""
+
+
+def exact_kind(text: str, common: set[str]) -> str:
+    return line_kind(text, common) or "prose"
+
+
+def reads_on(text: str, stats: np.ndarray) -> bool:
+    """Whether most lines end like sentences, or so many characters were lost in decoding that nothing else can be told."""
+    return stats[STATS.index("ends")] > 0.5 or text.count("\ufffd") > 0.1 * len(text)
+
+
+def other_kind(text: str, stats: np.ndarray, component: str, common: set[str]) -> str:
+    """Kind by line forms; where there are none, that of the page's component unless the page reads as sentences."""
+    return line_kind(text, common) or ("prose" if reads_on(text, stats) else component)
 
 
 def unreadable(lines: list[str], words: list[str], s: dict[str, float]) -> bool:
@@ -202,18 +215,30 @@ class Mixture:
 
 
 def fit_mixture(stats: DataFrame, column: str = "stats") -> Mixture:
-    """EM over all rows; a task returns COMPONENTS * (1 + 2 * len(STATS)) sums, whatever it read."""
+    """EM over all rows; a task returns COMPONENTS * (1 + 2 * len(STATS)) sums, whatever it read.
+
+    The first centres are the mean of all rows and, one after the other, the row farthest from those before: a pass
+    each, in which a task returns one row.
+    """
     dims = len(STATS)
     m = stats.agg(*[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev(F.col(column)[i]).alias(f"s{i}") for i in range(dims)], F.count("*").alias("n")).first()
     mean = np.array([m[f"m{i}"] or 0.0 for i in range(dims)])
     scale = np.array([m[f"s{i}"] if m[f"s{i}"] and m[f"s{i}"] > 1e-9 and not math.isnan(m[f"s{i}"]) else 1.0 for i in range(dims)])
-    rate = min(1.0, START_SAMPLE / max(1, m["n"]))
-    drawn = stats.filter(F.pmod(F.xxhash64(column), F.lit(1_000_000)) < F.lit(rate * 1_000_000)).select(column).toPandas()[column]
-    start = (np.array(sorted(map(tuple, drawn))) - mean) / scale if len(drawn) else np.zeros((1, dims))
-    centers = [start[0]]
-    for _ in range(COMPONENTS - 1):  # farthest points first, damped against outliers
-        far = np.min([np.clip((start - c) ** 2, 0, 9).sum(1) for c in centers], axis=0)
-        centers.append(start[int(far.argmax())])
+    centers = [np.zeros(dims)]
+    for _ in range(COMPONENTS - 1):  # damped against outliers
+
+        def farthest(batches: Iterator[pd.DataFrame], known: tuple = tuple(centers)) -> Iterator[pd.DataFrame]:
+            best = None
+            for b in batches:
+                if len(b):
+                    z = (np.stack(b[column].to_numpy()) - mean) / scale
+                    far = np.min([np.clip((z - c) ** 2, 0, 9).sum(1) for c in known], axis=0)
+                    best = max([(far.max(), tuple(r)) for r in z[far == far.max()]] + ([best] if best else []))
+            if best:
+                yield pd.DataFrame({"far": [best[0]], "row": [list(best[1])]})
+
+        tops = stats.select(column).mapInPandas(farthest, "far double, row array<double>").toPandas()  # a row per task
+        centers.append(np.array(max(zip(tops["far"], map(tuple, tops["row"])))[1]) if len(tops) else np.zeros(dims))
     model = Mixture(mean, scale, np.full(COMPONENTS, 1 / COMPONENTS), np.array(centers), np.ones((COMPONENTS, dims)))
     for _ in range(ROUNDS):
         shared = stats.sparkSession.sparkContext.broadcast(model.args())
@@ -276,8 +301,8 @@ def classify_pages(pages: DataFrame, common_words: DataFrame, key: str = "page_i
                 sure = np.where(now.distance(np.stack(stats.to_numpy())) > 6, np.minimum(sure, 0.5), sure)  # far from every component
             out = []
             for t, b, s, x in zip(texts, best, sure, stats):
-                # clear prose stays; what the mixture doubts or puts elsewhere, or has other line forms, is settled by these
-                out.append((int(b), names[b], float(s), exact_kind(t or "", known) if s < 0.999 or not t or formed(x) else "prose"))
+                # clear prose stays; what the mixture doubts or puts elsewhere, or has other line forms, is settled by these, else by its component
+                out.append((int(b), names[b], float(s), other_kind(t or "", x, names[b], known) if s < 0.999 or not t or formed(x) else "prose"))
             yield pd.DataFrame(out, columns=["component", "mixture_kind", "prose_share", "page_kind"])
 
     got = F.pandas_udf(kind, "component int, mixture_kind string, prose_share double, page_kind string")("stats", "t")

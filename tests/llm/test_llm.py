@@ -74,6 +74,22 @@ def test_mixture_and_edges(spark):
     assert quality.classify_pages(pages(spark, rows).limit(0), words).count() == 0
 
 
+def test_component_where_no_form_is_known(spark):
+    text = "» the red box\n» the blue box\n» the rope".replace("»", "→")
+    stats = np.array(quality.statistics(text, set()))
+    assert quality.line_kind(text, set()) == "" and [quality.other_kind(text, stats, k, set()) for k in ("list", "junk", "prose")] == ["list", "junk", "prose"]
+    assert quality.other_kind(EN, np.array(quality.statistics(EN, set())), "list", set()) == "prose"
+
+
+def test_mixture_starts_from_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [([float(v) for v in rng.normal(0, 0.1, len(quality.STATS))],) for _ in range(6000)] + [([50.0] * len(quality.STATS),)]
+    monkeypatch.setattr(quality, "ROUNDS", 0)
+    model = quality.fit_mixture(spark.createDataFrame(rows, "stats array<double>"))
+    far = (np.array(rows[-1][0]) - model.mean) / model.scale
+    assert min(np.abs(model.center - far).max(1)) < 1e-6 and np.abs(model.center[0]).max() < 1e-6
+
+
 def test_content_pages(spark):
     df = spark.createDataFrame([("r", 1), ("r", 2), ("r", 3), ("s", 1), (None, 1), (None, 2), (None, 3), ("t", None)], "run_id string, page_no long")
     assert sorted((r["run_id"] or "", r["page_no"]) for r in quality.content_pages(df).collect()) == [("", 2), ("r", 2)]
