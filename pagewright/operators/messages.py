@@ -65,7 +65,8 @@ def watermark_sessions(messages: DataFrame, force: int = FORCE) -> DataFrame:
 def raw_bodies(messages: DataFrame) -> DataFrame:
     """(run_id, session, body): ``role: content`` lines of a session in order, as filed when it rolls without a summary.
 
-    A session ends at its token watermark, which bounds what is gathered.
+    A body is one value, so a whole session is gathered in one task and nothing limits it: a session of more than
+    2 GB of text fails.
     """
     line = F.concat(F.col("speaker"), F.lit(": "), F.coalesce("text", F.lit("")))
     parts = F.array_sort(F.collect_list(F.struct("turn", "msg_id", line.alias("line"))))

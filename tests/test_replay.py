@@ -65,3 +65,11 @@ def test_batch_replay_keeps_runs_apart(spark):
     ctx = spark.createDataFrame([("a", 1), ("a", 2)], "run_id string, page_no long")
     got = {r["msg_id"]: r["answer"] for r in replay(m, ctx).collect()}
     assert got == {2: "page_deliver", 3: "stall_to_publish", 4: "published", 5: "after the end", 6: "stall_to_publish", 7: "bad_json_retry"}
+
+
+def test_texts_stay_out_of_the_shuffle(spark):
+    assert step(State(4, 3), act("read_page", page=1 << 70), Limits()) == "stall_to_publish" and step(State(4, 3), act(["help"], page=2), Limits()) == "page_deliver"
+    m = spark.createDataFrame([("a", 1, 1, 1, "user", "x")], "run_id string, session long, turn long, msg_id long, speaker string, text string")
+    plan = replay(m, spark.createDataFrame([("a", 1)], "run_id string, page_no long"))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("RepartitionByExpression")[1].split("ArrowEvalPython")[0]
+    assert "fits" in above and "text#" not in above
