@@ -17,9 +17,11 @@ READ = "target string, ord long, content binary, error string"
 
 
 def read_inbox(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """(target, size, content) of the archives directly in a folder; bigger ones stay out by a pushed-down length filter."""
-    files = spark.read.format("binaryFile").load(folder).filter(F.col("length") <= most_bytes)
-    return files.select(F.regexp_replace("path", "^file:", "").alias("target"), F.col("length").alias("size"), "content")
+    """(target, size, content) of the archives directly in a folder; bigger ones come without content, which isn't read."""
+    files = spark.read.format("binaryFile").load(folder)
+    cols = [F.regexp_replace("path", "^file:", "").alias("target"), F.col("length").alias("size")]
+    large = files.filter(F.col("length") > most_bytes).select(*cols, F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= most_bytes).select(*cols, "content").unionByName(large)
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -35,6 +37,9 @@ def list_members(archives: DataFrame) -> DataFrame:
                 if target.lower().endswith(".7z"):
                     rows.append((target, None, None, None, None, None, "7z support is missing"))
                     continue
+                if content is None:
+                    rows.append((target, None, None, None, None, None, "archive over the size limit"))
+                    continue
                 try:
                     infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
                 except (zipfile.BadZipFile, OSError, ValueError) as e:
