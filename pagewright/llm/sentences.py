@@ -34,6 +34,7 @@ _THAI_SPACE = re.compile(r"[ \t\r\n]+")
 _BLANK = re.compile(r"\n[ \t\r\f\v]*\n\s*")
 _HEADING = re.compile(r"^##\s.*$", re.M)
 _NOISE = set("[]{}|~$<>^=*#@\\§°¬")  # a few may stand in a sentence, many make it corrupted text
+_UNSPACED = re.compile("[一-鿿㐀-䶿぀-ヿ฀-๿]")
 _HIRAGANA = re.compile("[぀-ゟ]")
 
 
@@ -62,6 +63,11 @@ def _follow(token: str) -> str:
     return "lower" if core[0].islower() or core[0] in ",;:)" else "upper"
 
 
+def _counted(t: str) -> str:
+    """The type itself; empty for long runs of scripts without spaces, which are whole clauses and no words."""
+    return "" if len(t) > 12 and _UNSPACED.search(t) else t
+
+
 @functools.lru_cache(1 << 17)
 def _features(tok: str) -> tuple[str, str, str, str]:
     """(dot, mark or plain; type before a period; what it is after one; type as a start) of a token."""
@@ -70,7 +76,7 @@ def _features(tok: str) -> tuple[str, str, str, str]:
         kind, t = "dot", _type(_core(bare[:-1]))
     else:
         kind, t = "mark" if bare[-1:] in ("!", "?") else "plain", _type(_core(bare))
-    return kind, t if len(t) <= 12 else "", _follow(tok), _type(_core(tok).rstrip("."))
+    return kind, _counted(t), _follow(tok), _counted(_type(_core(tok).rstrip(".")))
 
 
 def _observe(texts: Iterator[str], known: LanguageModel) -> pd.DataFrame:
@@ -164,7 +170,7 @@ def learn_periods(pages: DataFrame, languages: tuple, text: str = "text") -> dic
     kinds = abbreviations.select("lang", "a", F.when(ends, F.lit("abbr")).otherwise(F.lit("title")).alias("kind"))
     # nouns behind ordinal numbers: most of their occurrences follow a number with a period
     o = counts.filter("kind = 'after' and a = '##'").groupBy("lang", F.col("b").alias("a")).agg(F.sum("n").alias("k")).join(plain, ["lang", "a"], "left").join(dots, ["lang", "a"], "left").join(total, "lang").na.fill(0)
-    o = o.join(starters.withColumnRenamed("b", "a"), ["lang", "a"], "left").filter("is_start is null and a not in ('lower', 'digit', 'initial') and k >= 3")
+    o = o.join(starters.withColumnRenamed("b", "a"), ["lang", "a"], "left").filter("is_start is null and a not in ('', 'lower', 'digit', 'initial') and k >= 3")
     o = o.filter((F.col("k") > 0.3 * (F.col("plain") + F.col("dots"))) & (F.col("k") >= F.col("all_dots") * LEAST_SHARE))
     kept = starters.select("lang", F.col("b").alias("a"), F.lit("start").alias("kind")).unionByName(kinds).unionByName(o.select("lang", "a", F.lit("ordinal").alias("kind")))
     model: dict = {}
