@@ -23,6 +23,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
 
 
+#: Keys that arrive more than once are broadcast up to this number (some 16 MB); beyond it whole rows are shuffled by key.
+FEW_KEYS = 1_000_000
+
+
 def first_arrival(df: DataFrame, key: str, time: str) -> DataFrame:
     """One row per ``key``: the earliest by ``time`` (nulls last); rows without a key all stay.
 
@@ -39,6 +43,20 @@ def first_arrival(df: DataFrame, key: str, time: str) -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, key: str, time: str) -> DataFrame:
+    """:func:`first_arrival` for wide rows: keys that arrive once, nearly all, stay where they are.
+
+    Only the keys are counted over all rows.  Those that arrive more than once are broadcast if they are few, so that
+    no other row moves; else every row goes through the shuffle, once, into a table.
+    """
+    again = cut(df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n")).filter("n > 1 and __k is not null").select("__k"))
+    if again.count() > FEW_KEYS:
+        return cut(first_arrival(df, key, time))
+    same = F.col(key) == F.col("__k")
+    once = df.join(F.broadcast(again), same, "left_anti")
+    return once.unionByName(first_arrival(df.join(F.broadcast(again), same, "left_semi"), key, time))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a temporary one only where none is named, as in tests."""
     return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -61,4 +79,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def unique_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of ``context``, each once, spread over the cores."""
-    return cut(first_arrival(spread(table(spark, sf_dir, "context")), "page_id", "packed_at"))
+    return first_rows(spread(table(spark, sf_dir, "context")), "page_id", "packed_at")

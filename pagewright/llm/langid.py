@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
+
 #: Pages per declared language the model is fitted on, drawn by hash; documented bound of the training sample.
 SAMPLE_PAGES = 500
 #: Longest n-grams of the backoff.
@@ -75,57 +77,83 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams per language."""
+    """Log frequencies of words and n-grams per language; tokens are scored many at a time and remembered."""
+
+    #: Tokens remembered at once; then the memory starts anew.
+    MOST = 300_000
 
     def __init__(self, langs: list[str], counts: dict[str, dict[str, list[float]]]):
         self.langs = langs
-        self.tables = {}
+        self.places: dict[str, dict[str, int]] = {}
+        self.logs: dict[str, np.ndarray] = {}
         for level, table in counts.items():
-            total = np.sum(list(table.values()), axis=0) + 1.0 if table else np.ones(len(langs))
-            self.tables[level] = {k: np.log((np.array(v) + 0.3) / (total + 0.3 * len(table))) for k, v in table.items()}
-        self.cache: dict[str, np.ndarray] = {}
-        self.tokens: dict[str, np.ndarray] = {}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequency of the word per language, or of its longest known n-grams; differences are what counts."""
-        if word in self.cache:
-            return self.cache[word]
-        out = self.tables["w"].get(word)
-        if out is None:
-            out = np.zeros(len(self.langs))
-            for n in range(LONGEST, 0, -1):
-                table = self.tables[str(n)]
-                known = [table[g] for g in grams(word, n) if g in table]
-                if known and (n == 1 or len(known) * 2 >= len(word)):
-                    # names have no language: an unseen word weighs less than a known one
-                    out = 0.4 * np.sum(known, axis=0) * n / LONGEST
-                    break
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        self.cache[word] = out = np.clip(out - out.max(), -8.0, 0.0)
+            n = np.array(list(table.values())).reshape(len(table), len(langs))
+            self.places[level] = dict(zip(table, range(len(table))))
+            self.logs[level] = np.log((n + 0.3) / (n.sum(axis=0) + 1.0 + 0.3 * len(table)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.matrix = np.zeros((1024, len(self.langs)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Per word its log frequency in each language, or that of its longest known n-grams; differences are what counts."""
+        out = np.zeros((len(words), len(self.langs)))
+        known = self.places["w"]
+        at = np.fromiter((known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        out[at >= 0] = self.logs["w"][at[at >= 0]]
+        left = np.flatnonzero(at < 0).tolist()
+        for n in range(LONGEST, 0, -1):
+            places, owners, found, rest = self.places[str(n)], [], [], []
+            for i in left:
+                got = [p for g in grams(words[i], n) if (p := places.get(g)) is not None]
+                if got and (n == 1 or len(got) * 2 >= len(words[i])):
+                    owners.append(i)
+                    found.append(got)
+                else:
+                    rest.append(i)
+            if owners:
+                starts = np.cumsum([0, *map(len, found[:-1])])
+                # names have no language: an unseen word weighs less than a known one
+                out[owners] = np.add.reduceat(self.logs[str(n)][np.concatenate(found)], starts, axis=0) * (0.4 * n / LONGEST)
+            left = rest
+        return np.clip(out - out.max(axis=1, keepdims=True, initial=-np.inf), -8.0, 0.0)
+
+    def token_scores(self, toks: list[str]) -> np.ndarray:
+        """Summed scores of the words of each token without white space."""
+        parts = [words(t) for t in toks]
+        number: dict[str, int] = {}
+        ids = [number.setdefault(w, len(number)) for p in parts for w in p]
+        out = np.zeros((len(toks), len(self.langs)))
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        if ids:
+            some = sizes > 0
+            out[some] = np.add.reduceat(self.scores(list(number))[ids], (np.cumsum(sizes) - sizes)[some], axis=0)
         return out
 
-    def token(self, tok: str) -> np.ndarray:
-        """Summed scores of the words of a token without white space."""
-        got = self.tokens.get(tok)
-        if got is None:
-            got = np.zeros(len(self.langs))
-            for w in words(tok):
-                got = got + self.score(w)
-            if len(self.tokens) > 300_000:
-                self.tokens.clear()
-            self.tokens[tok] = got
-        return got
+    def numbers(self, toks: list[str]) -> np.ndarray:
+        """Row of each token in ``matrix``; tokens not met before are scored together."""
+        if len(self.rows) > self.MOST:
+            self.forget()
+        new = list(set(toks).difference(self.rows))
+        if new:
+            n = len(self.rows)
+            while n + len(new) > len(self.matrix):
+                self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[n : n + len(new)] = self.token_scores(new)
+            self.rows.update(zip(new, range(n, n + len(new))))
+        return np.fromiter(map(self.rows.__getitem__, toks), dtype=np.int64, count=len(toks))
 
     def evidence(self, text: str) -> np.ndarray:
-        toks = text.split()
-        return np.sum([self.token(t) for t in toks], axis=0) if toks else np.zeros(len(self.langs))
+        rows = self.numbers(text.split())
+        return self.matrix[rows].sum(axis=0)
 
     def around(self, toks: list[str], before: int = 10, after: int = 3) -> list[str]:
         """Language of the words around each of the tokens."""
         if not toks:
             return []
-        sums = np.vstack([np.zeros(len(self.langs)), np.cumsum([self.token(t) for t in toks], axis=0)])
+        rows = self.numbers(toks)
+        sums = np.vstack([np.zeros(len(self.langs)), np.cumsum(self.matrix[rows], axis=0)])
         at = np.arange(len(toks))
         window = sums[np.minimum(len(toks), at + after + 1)] - sums[np.maximum(0, at - before)]
         return [self.langs[i] for i in window.argmax(axis=1)]
@@ -200,7 +228,7 @@ def learn_languages(pages: DataFrame, text: str = "text", label: str = "lang") -
     if not rates:
         return ["en"], {level: {} for level in ("w", *map(str, range(1, LONGEST + 1)))}
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang"))
-    drawn = named.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
+    drawn = cut(named.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000))
     return _fit(drawn, _fit(drawn, None))
 
 

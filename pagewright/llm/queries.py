@@ -56,7 +56,7 @@ def _models(pages: DataFrame) -> tuple[tuple, dict]:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = unique_pages(spark, d)
-    return sentences.wrong_labels(pages, *_models(pages))
+    return sentences.wrong_labels(pages, langid.learn_languages(pages))
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
