@@ -1,15 +1,18 @@
 """Problem 2: statistics of page text, and from them the kind of each page.
 
-A Gaussian mixture is fitted by expectation-maximization on standardized
-statistics of all pages: each round is one Spark pass whose tasks return only
-their sufficient statistics.  It starts from the mean and the farthest of all rows.
-Components get a kind from inspected examples.  Pages outside the prose components, or with line forms
-that prose lacks, get an exact look at these forms; where they have none that
-is known and don't read as sentences, the kind of their component holds.
+Per page the statistics named in ``STATS``; from these, ``FEATURES`` on which a
+Gaussian mixture is fitted by expectation-maximization.  Line forms (entries,
+rows, repeats, unreadable words) enter as soft scores, and sentence ends count
+only on lines that are no entries.  Each round is one Spark pass: tasks compute
+partial sums, Spark adds them, and COMPONENTS * (1 + 2 * len(FEATURES)) numbers
+come to the driver.  The first centres are the mean and the farthest of all
+rows.  Components get their kind from inspected examples; the kind of a page is
+that of its component.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -17,20 +20,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
 COMPONENTS, ROUNDS = 14, 12
-STATS = ("words", "word_length", "symbols", "digits", "ends", "common", "entries", "rows", "repeats", "letters", "line_length", "odd_words", "chunks", "phrase")
+#: Least variance of a component, in variances of all rows.
+FLOOR = 0.02
+STATS = ("words", "word_length", "symbols", "digits", "ends", "common", "entries", "rows", "repeats", "letters", "line_length", "odd_words", "chunks", "phrase", "hexes", "mixed", "misread", "top_line", "lines")
+FEATURES = ("entries", "rows", "repeats", "unreadable", "ends", "common", "letters", "digits", "symbols", "odd_words", "line_length", "word_length")
 _UNSPACED = "一-鿿㐀-䶿぀-ヿ฀-๿"
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+[ऀ-ॿ]*")
-_ENDS = ".!?…。！？।:"
+_LETTERS = re.compile("(?:[^\\W\\d_]|[\u0900-\u0e7f])+")  # vowel signs of Indic scripts and Thai are no symbols
+_DIGITS = re.compile(r"\d+")
+_ENDS = tuple(".!?…。！？।:")
 _ENTRY = re.compile(
     r"^\s*(?:[-*•+–·▪◦‣►»]\s+\S|\(?\d{1,3}[.):]\s|\(?[a-zA-Zа-яА-Я][.)]\s|\[[ xX✓✗]?\]\s|[│|`]*\s*[├└+|`][─\-]+|[0-9a-fA-F]{8,64}\s+\*?\S+$|[\w.\-]+(?: [\w.\-]+){0,3}\s*[=:：]\s*\S|\S+\.\w{2,4}(?:\s+\(?\d[\d.,]*\s*\w*\)?)?$|\S+/$|\S.{0,60} / \S.{0,60}[^.!?。！？।]$)"
 )
 _VOWELS = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýąęóаеёиоуыэюяіїє]", re.I)
-_SENTENCE = re.compile(r"\w\S*(?:\s+\S+){3,}[.!?…。！？।][\"'”»’)]*\s*$")
+_CLUSTER = re.compile("[^aeiouyàâäéèêëîïôöûüóáíúąęаеёиоуыэюя]{5,}")
+_HEX = re.compile(r"(?:[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|[0-9a-fA-F]{8,}:?)$")
+_MIXED = re.compile(r"\w[^\w\s.,'’\-/@:]+\w|[a-z][A-Z0-9]+[a-z]")
+_MISREAD = re.compile("[\x80-\u024f\u2010-\u2122]+")  # another script read with a Western page
 
 
 def body_lines(text: str) -> list[str]:
@@ -47,13 +58,10 @@ def _columns(line: str) -> tuple[str, int]:
     return "", 0
 
 
-def _lettered(c: str) -> bool:
-    return c.isalpha() or "\u0900" <= c <= "\u0e7f"  # vowel signs of Indic scripts and Thai are no symbols
-
-
-def chunk_share(text: str) -> float:
-    """Share of the text in unbroken ASCII chunks of more than 40 characters."""
-    return sum(len(c) for c in text.split() if len(c) > 40 and c.isascii()) / max(1, len(text))
+@functools.lru_cache(1 << 16)
+def _odd(word: str) -> bool:
+    """Whether a word of an alphabet reads like random letters."""
+    return not _VOWELS.search(word) or bool(_CLUSTER.search(word)) or len(word) > 24
 
 
 def phrase_share(words: list[str]) -> float:
@@ -64,11 +72,8 @@ def phrase_share(words: list[str]) -> float:
 def row_share(lines: list[str]) -> float:
     """Share of lines that are rows of the most frequent shape of three or more columns."""
     shapes = Counter(s for s in map(_columns, lines) if s[1] >= 3)
-    best = max(shapes.values(), default=0)
-    loose = Counter(s for s, _ in map(_columns, lines) if s)  # aligned by spaces, empty cells merge columns
-    if (wide := max((n for s, n in loose.items() if s == "  "), default=0)) > best:
-        best = wide
-    return best / max(1, len(lines))
+    wide = sum(n for (sep, _), n in shapes.items() if sep == "  ")  # aligned by spaces, empty cells merge columns
+    return max([wide, *shapes.values()], default=0) / max(1, len(lines))
 
 
 def statistics(text: str | None, common: set[str]) -> list[float]:
@@ -76,19 +81,42 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
     lines = body_lines(text or "")
     if not lines:
         return [0.0] * len(STATS)
-    whole = "\n".join(lines)
-    words = [w.lower() for w in _WORD.findall(whole)]
-    solid = max(1, sum(not c.isspace() for c in whole))
-    plain = [w for w in words if len(w) > 3 and w.isalpha() and w[0] < "ѐ"]
-    odd = sum(not _VOWELS.search(w) or bool(re.search(r"[^aeiouyàâäéèêëîïôöûüóáíúąęаеёиоуыэюя]{5,}", w)) or len(w) > 24 for w in plain)
+    whole, n = "\n".join(lines), len(lines)
+    chunks, words = whole.split(), _WORD.findall(whole.lower())
+    solid = max(1, sum(map(len, chunks)))
+    letters, digits = sum(map(len, _LETTERS.findall(whole))), sum(map(len, _DIGITS.findall(whole)))
+    plain = [w for w in words if len(w) > 3 and w[0] < "\u0250" and w.isalpha()]
+    misread = "".join(_MISREAD.findall(whole)) if not whole.isascii() else ""
+    narrow = [c for c in chunks if not c.isalpha() and max(c) < "\u0250"]
     return [
-        math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), sum(not c.isalnum() and not c.isspace() and not _lettered(c) for c in whole) / solid,
-        sum(c.isdigit() for c in whole) / solid, sum(x.rstrip("\"'”»’)」』 ")[-1:] in tuple(_ENDS) for x in lines) / len(lines),
-        sum(w in common for w in words) / max(1, len(words)), sum(bool(_ENTRY.match(x)) for x in lines) / len(lines), row_share(lines),
-        1 - len({x.strip() for x in lines}) / len(lines), sum(map(_lettered, whole)) / solid, math.log1p(len(whole) / len(lines)), odd / max(1, len(plain)), chunk_share(whole), phrase_share(words),
+        math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), max(0, solid - letters - digits) / solid, digits / solid,
+        sum(x.rstrip("\"'”»’)」』 ").endswith(_ENDS) for x in lines) / n, sum(map(common.__contains__, words)) / max(1, len(words)),
+        sum(map(bool, map(_ENTRY.match, lines))) / n, row_share(lines), 1 - len({x.strip() for x in lines}) / n, letters / solid, math.log1p(len(whole) / n),
+        sum(map(_odd, plain)) / max(1, len(plain)), sum(len(c) for c in chunks if len(c) > 40 and c.isascii()) / max(1, len(whole)), phrase_share(words),
+        sum(map(bool, map(_HEX.match, chunks))) / max(1, len(chunks)), sum(map(bool, map(_MIXED.search, [*narrow, *(c for c in chunks if c.isascii() and c.isalpha())]))) / max(1, len(chunks)),
+        max(len(misread) / solid if len(set(misread)) >= 12 else 0.0, 4 * whole.count("\ufffd") / solid), max(Counter(x.strip() for x in lines).values()) / n if n > 3 else 0.0, float(n),
     ]
 
 
+def features(stats: np.ndarray) -> np.ndarray:
+    """FEATURES (columns) from rows of STATS; shares become soft scores around the point where a form is that of most lines."""
+    s = dict(zip(STATS, stats.T))
+
+    def ramp(x: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.clip((x - low) / (high - low), 0, 1)
+
+    entries = ramp(s["entries"] * np.clip((s["lines"] - 1.5) / 2, 0, 1), 0.35, 0.6)
+    legible = 1 - ramp(s["misread"], 0.25, 0.4)  # misread prose stays prose
+    strange = ramp(-s["common"], -0.09, -0.03)  # hardly any common words
+    unreadable = np.maximum.reduce([ramp(s["hexes"], 0.4, 0.7), ramp(-s["letters"], -0.55, -0.45) * ramp(-s["digits"], -0.5, -0.4), ramp(s["odd_words"], 0.15, 0.3) * strange, ramp(s["mixed"], 0.25, 0.45) * strange])
+    repeats = np.maximum.reduce([ramp(s["top_line"], 0.45, 0.65), ramp(s["phrase"], 0.14, 0.2), ramp(s["chunks"], 0.35, 0.6) * (1 - ramp(s["rows"], 0.6, 0.8))])
+    rows = ramp(s["rows"], 0.35, 0.6) * (1 - ramp(s["odd_words"], 0.25, 0.45))  # cells hold words or numbers
+    return np.column_stack([
+        entries, rows, repeats * legible, unreadable * legible, s["ends"] * (1 - entries), np.clip(s["common"], 0, 0.4), s["letters"], s["digits"], s["symbols"],
+        s["odd_words"], s["line_length"], np.clip(s["word_length"], 0, 12),
+    ])
+
+
 #: Inspected examples, written for this purpose: what pages of each kind look like.
 EXAMPLES = {
     "prose": (
@@ -116,97 +144,16 @@ EXAMPLES = {
 }
 
 
-def line_kind(text: str, common: set[str]) -> str:
-    """Kind by the forms of the lines: what most of them are; empty if they have none of these forms."""
-    lines = body_lines(text)
-    if not lines:
-        return "junk"
-    s = dict(zip(STATS, statistics(text, common)))
-    n = len(lines)
-    if n >= 4 and max(Counter(x.strip() for x in lines).values()) > 0.6 * n:
-        return "junk"
-    words = [w.lower() for w in _WORD.findall("\n".join(lines))]
-    misread = [c for c in text if "\x80" <= c < "\u0250"]  # another script read with a Western page: prose stays prose
-    if len(misread) > 0.3 * len(text) and len(set(misread)) >= 12 and max(s["rows"], s["entries"]) <= 0.5:
-        return "prose"
-    if len(words) >= 24:  # one phrase over and over, also within a line
-        if phrase_share(words) > 0.15 or len(set(words)) < 4:
-            return "junk"
-    if s["chunks"] > 0.5 and (s["rows"] < 0.75 or n < 3):
-        return "junk"
-    if s["rows"] > 0.5 and n >= 3 and s["letters"] + s["digits"] > 0.5:
-        return "table"
-    if s["entries"] > 0.5 and n >= 2 and s["letters"] + s["digits"] > 0.45:
-        return "list"
-    if unreadable(lines, words, s):
-        return "junk"
-    return ""
-
-
-def exact_kind(text: str, common: set[str]) -> str:
-    return line_kind(text, common) or "prose"
-
-
-def reads_on(text: str, stats: np.ndarray) -> bool:
-    """Whether most lines end like sentences, or so many characters were lost in decoding that nothing else can be told."""
-    return stats[STATS.index("ends")] > 0.5 or text.count("\ufffd") > 0.1 * len(text)
-
-
-def other_kind(text: str, stats: np.ndarray, component: str, common: set[str]) -> str:
-    """Kind by line forms; where there are none, that of the page's component unless the page reads as sentences."""
-    return line_kind(text, common) or ("prose" if reads_on(text, stats) else component)
-
-
-def unreadable(lines: list[str], words: list[str], s: dict[str, float]) -> bool:
-    """Encoded bytes, random letters, symbols and drawings: hardly any line reads like words of a language."""
-    text = " ".join(lines)
-    chunks = text.split()
-    hexes = sum(bool(re.fullmatch(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|[0-9a-fA-F]{8,}:?", c)) for c in chunks)
-    if hexes > 0.6 * len(chunks):
-        return True
-    if s["letters"] < 0.5 and s["digits"] < 0.4:
-        return True
-    latin = [w for w in words if w[0] < "ѐ"]
-    mixed = sum(max(c) < "\u0250" and bool(re.search(r"\w[^\w\s.,'’\-/@:]+\w|[a-z][A-Z0-9]+[a-z]", c)) for c in chunks)
-    return s["odd_words"] > 0.25 and s["common"] < 0.06 or bool(latin) and s["common"] < 0.06 and mixed > 0.4 * len(chunks)
-
-
-def page_statistics(pages: DataFrame, common: set[str], text: str = "text") -> Column:
-    """Array column with the STATS of each page."""
-    shared = pages.sparkSession.sparkContext.broadcast(common)
-
-    def stats(cols: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for col in cols:
-            yield pd.Series([statistics(t, shared.value) for t in col], dtype=object)
-
-    return F.pandas_udf(stats, "array<double>")(F.col(text))
-
-
-def formed(stats: np.ndarray) -> bool:
-    """Whether the lines of a page have forms that prose lacks, although its other statistics may be those of prose."""
-    s = dict(zip(STATS, stats))
-    return s["entries"] > 0.4 or s["rows"] > 0.4 or s["chunks"] > 0.3 or s["phrase"] > 0.1 or s["repeats"] > 0.4
-
-
 class Mixture:
-    """Gaussian mixture with diagonal covariances on standardized statistics."""
+    """Gaussian mixture with diagonal covariances on standardized features."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, center: np.ndarray, var: np.ndarray):
         self.mean, self.scale, self.weight, self.center, self.var = mean, scale, weight, center, var
 
-    def logs(self, x: np.ndarray) -> np.ndarray:
+    def posterior(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         d = ((z[:, None, :] - self.center[None]) ** 2 / self.var[None]).sum(2)
-        return np.log(self.weight)[None] - 0.5 * (d + np.log(self.var).sum(1)[None])
-
-    def distance(self, x: np.ndarray) -> np.ndarray:
-        """Mean squared distance, in deviations, to the component each row fits best."""
-        z = (x - self.mean) / self.scale
-        best = self.logs(x).argmax(1)
-        return ((z - self.center[best]) ** 2 / self.var[best]).mean(1)
-
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        logs = self.logs(x)
+        logs = np.log(self.weight)[None] - 0.5 * (d + np.log(self.var).sum(1)[None])
         p = np.exp(logs - logs.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -214,99 +161,93 @@ class Mixture:
         return self.mean, self.scale, self.weight, self.center, self.var
 
 
-def fit_mixture(stats: DataFrame, column: str = "stats") -> Mixture:
-    """EM over all rows; a task returns COMPONENTS * (1 + 2 * len(STATS)) sums, whatever it read.
+def _blocks(batches: Iterator[pd.DataFrame], column: str) -> Iterator[np.ndarray]:
+    return (np.stack(b[column].to_numpy()) for b in batches if len(b))
+
+
+def fit_mixture(rows: DataFrame, column: str = "features") -> Mixture:
+    """EM over all rows; sums of the tasks are added in Spark.
 
     The first centres are the mean of all rows and, one after the other, the row farthest from those before: a pass
-    each, in which a task returns one row.
+    each, damped against outliers.
     """
-    dims = len(STATS)
-    m = stats.agg(*[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev(F.col(column)[i]).alias(f"s{i}") for i in range(dims)], F.count("*").alias("n")).first()
+    dims = len(FEATURES)
+    m = rows.agg(*[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(dims)], *[F.stddev(F.col(column)[i]).alias(f"s{i}") for i in range(dims)]).first()
     mean = np.array([m[f"m{i}"] or 0.0 for i in range(dims)])
     scale = np.array([m[f"s{i}"] if m[f"s{i}"] and m[f"s{i}"] > 1e-9 and not math.isnan(m[f"s{i}"]) else 1.0 for i in range(dims)])
     centers = [np.zeros(dims)]
-    for _ in range(COMPONENTS - 1):  # damped against outliers
+    for _ in range(COMPONENTS - 1):
 
         def farthest(batches: Iterator[pd.DataFrame], known: tuple = tuple(centers)) -> Iterator[pd.DataFrame]:
             best = None
-            for b in batches:
-                if len(b):
-                    z = (np.stack(b[column].to_numpy()) - mean) / scale
-                    far = np.min([np.clip((z - c) ** 2, 0, 9).sum(1) for c in known], axis=0)
-                    best = max([(far.max(), tuple(r)) for r in z[far == far.max()]] + ([best] if best else []))
+            for x in _blocks(batches, column):
+                z = (x - mean) / scale
+                far = np.min([np.clip((z - c) ** 2, 0, 9).sum(1) for c in known], axis=0)
+                best = max([(far.max(), tuple(r)) for r in z[far == far.max()]] + ([best] if best else []))
             if best:
                 yield pd.DataFrame({"far": [best[0]], "row": [list(best[1])]})
 
-        tops = stats.select(column).mapInPandas(farthest, "far double, row array<double>").toPandas()  # a row per task
-        centers.append(np.array(max(zip(tops["far"], map(tuple, tops["row"])))[1]) if len(tops) else np.zeros(dims))
+        top = rows.select(column).mapInPandas(farthest, "far double, row array<double>").agg(F.max(F.struct("far", "row")).alias("top")).first()["top"]
+        centers.append(np.array(top["row"]) if top else np.zeros(dims))
     model = Mixture(mean, scale, np.full(COMPONENTS, 1 / COMPONENTS), np.array(centers), np.ones((COMPONENTS, dims)))
     for _ in range(ROUNDS):
-        shared = stats.sparkSession.sparkContext.broadcast(model.args())
+        shared = rows.sparkSession.sparkContext.broadcast(model.args())
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now = Mixture(*shared.value)
             total = np.zeros((COMPONENTS, 1 + 2 * dims))
-            for b in batches:
-                if len(b):
-                    x = np.stack(b[column].to_numpy())
-                    p, z = now.posterior(x), (x - now.mean) / now.scale
-                    total += np.hstack([p.sum(0)[:, None], p.T @ z, p.T @ z**2])
-            yield pd.DataFrame({"k": np.arange(COMPONENTS), "sums": list(total)})
-
-        parts = stats.select(column).mapInPandas(sums, "k long, sums array<double>").toPandas()  # COMPONENTS rows per task
-        total = np.zeros((COMPONENTS, 1 + 2 * dims))
-        for k, v in zip(parts["k"], parts["sums"]):
-            total[k] += v
+            for x in _blocks(batches, column):
+                p, z = now.posterior(x), (x - now.mean) / now.scale
+                total += np.hstack([p.sum(0)[:, None], p.T @ z, p.T @ z**2])
+            yield pd.DataFrame({"at": np.arange(total.size), "sum": total.ravel()})
+
+        total = np.zeros(COMPONENTS * (1 + 2 * dims))
+        for r in rows.select(column).mapInPandas(sums, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).collect():
+            total[r["at"]] = r["sum"]
+        total = total.reshape(COMPONENTS, 1 + 2 * dims)
         n = total[:, 0] + 1e-6
         center = total[:, 1 : 1 + dims] / n[:, None]
-        var = np.maximum(total[:, 1 + dims :] / n[:, None] - center**2, 0.02)
-        model = Mixture(mean, scale, n / n.sum(), center, var)
+        model = Mixture(mean, scale, n / n.sum(), center, np.maximum(total[:, 1 + dims :] / n[:, None] - center**2, FLOOR))
     return model
 
 
 def component_kinds(model: Mixture, common: set[str]) -> list[str]:
-    """Kind of each component: that of the inspected examples it explains best, the nearest where it explains none."""
+    """Kind of each component: that of the nearest inspected example."""
     kinds = [k for k, texts in EXAMPLES.items() for _ in texts]
-    x = np.array([statistics(t, common) for texts in EXAMPLES.values() for t in texts])
-    z = (x - model.mean) / model.scale
-    z[:, STATS.index("words")] = 0  # the examples are short; their size says nothing
-    out = []
-    for center, var in zip(model.center, model.var):
-        c = center.copy()
-        c[STATS.index("words")] = 0
-        d = np.clip((z - c) ** 2 / (var + 0.5), 0, 16).sum(1)
-        out.append(kinds[int(d.argmin())])
-    return out
+    z = (features(np.array([statistics(t, common) for texts in EXAMPLES.values() for t in texts])) - model.mean) / model.scale
+    return [kinds[int(np.clip((z - c) ** 2 / (v + 0.5), 0, 16).sum(1).argmin())] for c, v in zip(model.center, model.var)]
 
 
 def classify_pages(pages: DataFrame, common_words: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """(key, stats, component, mixture_kind, prose_share, page_kind) of every page.
+    """(key, stats, component, prose_share, page_kind) of every page; ``page_kind`` is the kind of its component.
 
     Null and empty pages have zero statistics and count as junk.  ``common_words`` is a small fixed table (column
     ``word``); its nulls are ignored.  Repeated rows are classified each for itself.
     """
     common = {r["word"].lower() for r in common_words.select("word").distinct().collect() if r["word"]}
-    rows = cut(pages.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("stats", page_statistics(pages, common, "t")))
+    words = pages.sparkSession.sparkContext.broadcast(common)
+
+    def measure(cols: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for col in cols:
+            stats = np.array([statistics(t, words.value) for t in col]).reshape(len(col), len(STATS))
+            yield pd.DataFrame({"stats": list(stats), "features": list(features(stats))})
+
+    measured = pages.select(F.col(key).alias("k"), F.pandas_udf(measure, "stats array<double>, features array<double>")(F.col(text)).alias("m"))
+    rows = cut(measured.select("k", "m.stats", "m.features"))
     model = fit_mixture(rows)
-    kinds = component_kinds(model, common)
-    shared = pages.sparkSession.sparkContext.broadcast((model.args(), kinds, common))
+    shared = pages.sparkSession.sparkContext.broadcast((model.args(), component_kinds(model, common)))
 
-    def kind(cols: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        args, names, known = shared.value
+    def kind(cols: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        args, names = shared.value
         now, prose = Mixture(*args), np.array([n == "prose" for n in names])
-        for stats, texts in cols:
-            p = now.posterior(np.stack(stats.to_numpy())) if len(stats) else np.zeros((0, COMPONENTS))
-            best, sure = p.argmax(1), p[:, prose].sum(1)
-            if len(stats):
-                sure = np.where(now.distance(np.stack(stats.to_numpy())) > 6, np.minimum(sure, 0.5), sure)  # far from every component
-            out = []
-            for t, b, s, x in zip(texts, best, sure, stats):
-                # clear prose stays; what the mixture doubts or puts elsewhere, or has other line forms, is settled by these, else by its component
-                out.append((int(b), names[b], float(s), other_kind(t or "", x, names[b], known) if s < 0.999 or not t or formed(x) else "prose"))
-            yield pd.DataFrame(out, columns=["component", "mixture_kind", "prose_share", "page_kind"])
-
-    got = F.pandas_udf(kind, "component int, mixture_kind string, prose_share double, page_kind string")("stats", "t")
-    return rows.withColumn("g", got).select(F.col("k").alias(key), "stats", "g.component", "g.mixture_kind", "g.prose_share", "g.page_kind")
+        for col in cols:
+            p = now.posterior(np.stack(col.to_numpy())) if len(col) else np.zeros((0, COMPONENTS))
+            best = p.argmax(1)
+            yield pd.DataFrame({"component": best.astype(np.int32), "prose_share": p[:, prose].sum(1), "page_kind": [names[b] for b in best]})
+
+    got = F.pandas_udf(kind, "component int, prose_share double, page_kind string")("features")
+    empty = F.col("stats")[STATS.index("lines")] == 0
+    return rows.withColumn("g", got).select(F.col("k").alias(key), "stats", "g.component", "g.prose_share", F.when(empty, F.lit("junk")).otherwise(F.col("g.page_kind")).alias("page_kind"))
 
 
 def content_pages(pages: DataFrame, run: str = "run_id", number: str = "page_no") -> DataFrame:
