@@ -18,12 +18,12 @@ def _budget(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.find_damaged(unique_pages(spark, d))
+    return mojibake.find_damaged(unique_pages(spark, d), source="run_id")
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Damaged pages with their cipher and the text that could be had again."""
-    return mojibake.repair_encoding(unique_pages(spark, d)).filter("damage_odds > 0").select("page_id", "cipher", "damage_odds", "repaired")
+    return mojibake.repair_encoding(unique_pages(spark, d), source="run_id").filter("damage_odds > 0").select("page_id", "cipher", "damage_odds", "repaired")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,35 @@ def test_repairs_known_and_learned_ciphers(spark, corpus):
     assert not any(r["damage_odds"] > 0 for i, r in got.items() if i < 1000)
 
 
+def test_invented_code_page_is_learned_from_its_source(spark):
+    rng = random.Random(7)
+    parts = ["schön", "für", "Bär", "grün", "müde", "Köln", "Füße", "häus", "lös", "träum", "wär", "süß", "hör", "kühl"]
+    vocabulary = [rng.choice(parts) + rng.choice(["er", "en", "lich", "heit", "bar", "ung"]) + rng.choice(["e", "s", "", "n"]) for _ in range(220)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    sound = [(i, "sound", line(1500)) for i in range(300)]
+    invented = str.maketrans({"ä": "Ж", "ö": "ђ", "ü": "Љ", "ß": "Ћ"})  # no known page reads these letters this way
+    meant = [line(60) for _ in range(3)]
+    damaged = [(1000 + i, "odd", t.translate(invented)) for i, t in enumerate(meant)]
+    df = spark.createDataFrame(sound + damaged + [(2000, "sound", "The menu icon \ue001 opens the list."), (2001, None, None)], "page_id long, run_id string, text string")
+    got = {r["page_id"]: r for r in mojibake.repair_encoding(df, source="run_id").filter("damage_odds > 0").collect()}
+    assert set(got) == {1000 + i for i in range(3)}
+    assert [got[1000 + i]["repaired"] for i in range(3)] == meant
+
+
+def test_table_of_a_source_by_em():
+    n = np.zeros(mojibake.BUCKETS), np.zeros(mojibake.SINGLE)
+    for cells in mojibake._cells(iter(["für müde Bären und schöne Küche " * 50])):
+        cells = cells[cells["cell"] >= 0]
+        both = np.concatenate(n)
+        both[cells["cell"].to_numpy(dtype=int)] += cells["n"].to_numpy()
+        n = both[: mojibake.BUCKETS], both[mojibake.BUCKETS :]
+    model = mojibake.BigramModel(*n, {}, 0)
+    word = "f\u00a5r"  # the known page would say a yen sign is meant
+    units = mojibake.split_units(word, "unknown")
+    table = mojibake.learn_table([b" ", *units], [*units, b" "], np.full(4, 9.0), "unknown", model)
+    assert mojibake.apply_table([word, "x"], "unknown", table) == ["für", None]
+
+
 def test_encoding_of_an_empty_table(spark, corpus):
     assert mojibake.find_damaged(corpus.limit(0)).count() == 0
 
@@ -61,8 +90,10 @@ def test_encoding_of_an_empty_table(spark, corpus):
 
 def test_kinds_of_own_examples(spark):
     common_words = {"the", "in", "and", "le", "die", "и"}
-    wrong = [(k, t) for k, texts in quality.EXAMPLES.items() for t in texts if quality.exact_kind(t, common_words) != k]
-    assert len(wrong) <= 2, wrong
+    at = [quality.FEATURES.index(f) for f in ("entries", "rows", "unreadable", "repeats")]
+    got = {k: quality.features(np.array([quality.statistics(t, common_words) for t in texts]))[:, at] for k, texts in quality.EXAMPLES.items()}
+    assert (got["prose"] < 0.5).all()
+    assert (got["list"][:, 0] > 0.5).mean() > 0.8 and (got["table"][:, 1] > 0.5).mean() > 0.7 and (got["junk"][:, 2:].max(1) > 0.5).mean() > 0.8
 
 
 def test_mixture_and_edges(spark):
@@ -74,18 +105,25 @@ def test_mixture_and_edges(spark):
     assert quality.classify_pages(pages(spark, rows).limit(0), words).count() == 0
 
 
-def test_component_where_no_form_is_known(spark):
-    text = "» the red box\n» the blue box\n» the rope".replace("»", "→")
-    stats = np.array(quality.statistics(text, set()))
-    assert quality.line_kind(text, set()) == "" and [quality.other_kind(text, stats, k, set()) for k in ("list", "junk", "prose")] == ["list", "junk", "prose"]
-    assert quality.other_kind(EN, np.array(quality.statistics(EN, set())), "list", set()) == "prose"
+def test_page_kind_is_the_kind_of_the_component(spark):
+    rng = random.Random(3)
+    make = {
+        "prose": lambda: " ".join(f"The {rng.choice(['map', 'box', 'rope'])} of the {rng.choice(['reader', 'writer'])} is old and in the house." for _ in range(rng.randint(4, 9))),
+        "list": lambda: "\n".join(f"- The {rng.choice(['red', 'blue', 'old'])} {rng.choice(['map', 'box', 'rope'])} was tested on ten roads." for _ in range(rng.randint(5, 12))),
+        "table": lambda: "name,size,date\n" + "\n".join(f"box{rng.randint(1, 9)},{rng.randint(1, 99)},2020-01-{rng.randint(10, 28)}" for _ in range(rng.randint(5, 12))),
+        "junk": lambda: "\n".join("".join(rng.choice("bcdfgkqxz ") for _ in range(60)) for _ in range(rng.randint(5, 12))),
+    }
+    rows = [(make[k](), k) for k, n in (("prose", 120), ("list", 40), ("table", 40), ("junk", 40)) for _ in range(n)]
+    words = spark.createDataFrame([("en", w) for w in ("the", "of", "is", "and", "in", "was", "on")], "lang string, word string")
+    got = quality.classify_pages(pages(spark, rows), words).orderBy("page_id").collect()
+    assert sum(r["page_kind"] == k for r, (_, k) in zip(got, rows)) >= 0.97 * len(rows)
 
 
 def test_mixture_starts_from_all_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    rows = [([float(v) for v in rng.normal(0, 0.1, len(quality.STATS))],) for _ in range(6000)] + [([50.0] * len(quality.STATS),)]
+    rows = [([float(v) for v in rng.normal(0, 0.1, len(quality.FEATURES))],) for _ in range(6000)] + [([50.0] * len(quality.FEATURES),)]
     monkeypatch.setattr(quality, "ROUNDS", 0)
-    model = quality.fit_mixture(spark.createDataFrame(rows, "stats array<double>"))
+    model = quality.fit_mixture(spark.createDataFrame(rows, "features array<double>"))
     far = (np.array(rows[-1][0]) - model.mean) / model.scale
     assert min(np.abs(model.center - far).max(1)) < 1e-6 and np.abs(model.center[0]).max() < 1e-6
 
