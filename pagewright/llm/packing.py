@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import cut, token_count
 
-SALTS = 64
+#: Rows of one length that are ranked together; a more frequent length is ranked in as many parts as it needs.
+PART_ROWS = 500_000
 
 
 def plan_slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -96,10 +97,11 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
     ``text`` are read, so other columns may have any name.
     """
     spark = docs.sparkSession
-    items = _pieces(docs, capacity, key, text)
-    salt = F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.lit(SALTS)).cast("int")
-    items = cut(items.withColumn("salt", salt))
-    per_part = items.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n")).toPandas()  # <= capacity * SALTS rows
+    items = cut(_pieces(docs, capacity, key, text))
+    parts = items.filter("size > 0").groupBy("size").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts"))  # at most a row per length
+    salt = F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.col("parts")).cast("int")
+    items = items.join(F.broadcast(parts), "size", "left").withColumn("salt", F.coalesce(salt, F.lit(0))).drop("parts")
+    per_part = items.filter("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n")).toPandas()  # a row per length and PART_ROWS documents
     per_part = per_part.sort_values(["size", "salt"])
     per_part["before"] = per_part.groupby("size")["n"].cumsum() - per_part["n"]
     counts = per_part.groupby("size")["n"].sum()
@@ -114,3 +116,22 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
     placed = ranked.alias("i").join(F.broadcast(slots.alias("s")), inside, "left")
     container = F.col("s.base") + F.floor((F.col("i.rank") - F.col("s.from_rank")) / F.col("s.each"))
     return placed.select(F.col(f"i.{key}").alias(key), "i.doc_size", "i.pieces", "i.piece", "i.size", container.cast("bigint").alias("container_id"))
+
+
+def split_documents(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key) of the documents whose pieces lie in more than one container."""
+    return placed.groupBy(key).agg((F.min("container_id") < F.max("container_id")).alias("split")).filter("split").select(key)
+
+
+def invariants(placed: DataFrame, capacity: int) -> DataFrame:
+    """One row of what must hold of any packing: (tokens, pieces, unplaced, repeated, overfull, well_filled).
+
+    ``tokens`` and ``pieces`` placed, pieces with tokens but no container, pieces that stand in two, containers above the
+    capacity, and whether the containers are 99 in 100 full.
+    """
+    full = placed.filter("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("used"), F.count("*").alias("pieces"))
+    fill = full.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count(F.when(F.col("used") > capacity, 1)).alias("overfull"), (F.sum("used") >= F.count("*") * F.lit(0.99 * capacity)).alias("well_filled"))
+    once = placed.groupBy("doc_id", "piece").agg(F.count("*").alias("n"), F.count(F.when((F.col("size") > 0) & F.col("container_id").isNull(), 1)).alias("none"))
+    loose = once.agg(F.coalesce(F.sum("none"), F.lit(0)).alias("unplaced"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
+    both = fill.withColumn("one", F.lit(1)).join(loose.withColumn("one", F.lit(1)), "one")  # one row each
+    return both.select("tokens", "pieces", "unplaced", "repeated", "overfull", "well_filled")

@@ -58,10 +58,18 @@ def _columns(line: str) -> tuple[str, int]:
     return "", 0
 
 
-@functools.lru_cache(1 << 16)
-def _odd(word: str) -> bool:
-    """Whether a word of an alphabet reads like random letters."""
-    return not _VOWELS.search(word) or bool(_CLUSTER.search(word)) or len(word) > 24
+@functools.lru_cache(1 << 17)
+def _word_form(word: str) -> int:
+    """1 for a longer word of the Latin alphabet, 2 if it reads like random letters, else 0."""
+    if len(word) <= 3 or word[0] >= "\u0250" or not word.isalpha():
+        return 0
+    return 2 if not _VOWELS.search(word) or _CLUSTER.search(word) or len(word) > 24 else 1
+
+
+@functools.lru_cache(1 << 17)
+def _chunk_form(chunk: str) -> int:
+    """1 for hexadecimal digits, 2 for letters and signs mixed up, 3 for both, else 0."""
+    return bool(_HEX.match(chunk)) + 2 * (max(chunk) < "\u0250" and bool(_MIXED.search(chunk)))
 
 
 def phrase_share(words: list[str]) -> float:
@@ -85,15 +93,14 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
     chunks, words = whole.split(), _WORD.findall(whole.lower())
     solid = max(1, sum(map(len, chunks)))
     letters, digits = sum(map(len, _LETTERS.findall(whole))), sum(map(len, _DIGITS.findall(whole)))
-    plain = [w for w in words if len(w) > 3 and w[0] < "\u0250" and w.isalpha()]
+    forms, looks = Counter(map(_word_form, words)), Counter(map(_chunk_form, chunks))
     misread = "".join(_MISREAD.findall(whole)) if not whole.isascii() else ""
-    narrow = [c for c in chunks if not c.isalpha() and max(c) < "\u0250"]
     return [
         math.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), max(0, solid - letters - digits) / solid, digits / solid,
         sum(x.rstrip("\"'”»’)」』 ").endswith(_ENDS) for x in lines) / n, sum(map(common.__contains__, words)) / max(1, len(words)),
         sum(map(bool, map(_ENTRY.match, lines))) / n, row_share(lines), 1 - len({x.strip() for x in lines}) / n, letters / solid, math.log1p(len(whole) / n),
-        sum(map(_odd, plain)) / max(1, len(plain)), sum(len(c) for c in chunks if len(c) > 40 and c.isascii()) / max(1, len(whole)), phrase_share(words),
-        sum(map(bool, map(_HEX.match, chunks))) / max(1, len(chunks)), sum(map(bool, map(_MIXED.search, [*narrow, *(c for c in chunks if c.isascii() and c.isalpha())]))) / max(1, len(chunks)),
+        forms[2] / max(1, forms[1] + forms[2]), sum(len(c) for c in chunks if len(c) > 40 and c.isascii()) / max(1, len(whole)), phrase_share(words),
+        (looks[1] + looks[3]) / max(1, len(chunks)), (looks[2] + looks[3]) / max(1, len(chunks)),
         max(len(misread) / solid if len(set(misread)) >= 12 else 0.0, 4 * whole.count("\ufffd") / solid), max(Counter(x.strip() for x in lines).values()) / n if n > 3 else 0.0, float(n),
     ]
 

@@ -78,7 +78,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
+    return packing.split_documents(p7_containers(spark, d))
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every token and piece has its container, none is overfull and little space is left."""
+    return packing.invariants(p7_containers(spark, d), _budget(spark, d, "pack")[0])
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     p1_found, p1_repaired, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p5_found, p5_segments, p6_found,
-    p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_pieces,
+    p7_found, p7_containers, p7_invariants, p8_found, p8_stretches, p9_found, p9_pieces,
 )}
 
 _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -131,6 +136,8 @@ ORACLE: dict[str, str] = {
     "p3_conversations": _ONCE + """SELECT p.run_id, p.session, p.turn, p.msg_id, p.speaker, p.prompt_key, p.text
         FROM plain p JOIN judged j ON p.run_id IS NOT DISTINCT FROM j.run_id AND p.session IS NOT DISTINCT FROM j.session WHERE j.keep""",
     "p7_found": _SIZES + "SELECT DISTINCT doc_id FROM sized WHERE size > (SELECT capacity FROM budgets WHERE purpose = 'pack')",
+    "p7_invariants": _SIZES + """ SELECT sum(size)::BIGINT AS tokens, sum(ceil(size / (SELECT capacity FROM budgets WHERE purpose = 'pack')))::BIGINT AS pieces,
+        0::BIGINT AS unplaced, 0::BIGINT AS repeated, 0::BIGINT AS overfull, true AS well_filled FROM sized""",
     "p9_found": _SIZES + f""", parts AS (
         SELECT doc_id, size, unnest(regexp_split_to_array(text, '[{_SPACE}。！？；，、]+')) AS part FROM sized
         WHERE size > (SELECT capacity FROM budgets WHERE purpose = 'cut'))
