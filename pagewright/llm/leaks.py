@@ -4,7 +4,9 @@ Greedy string tiling.  Seeds (short runs of shared tokens) are joined between
 documents and items; for each pair that shares one, maximal matches are grown
 from the seeds, the longest that overlaps nothing marked is marked again and
 again, and neighbouring tiles that are parted by one exchanged word form a
-stretch.  Seed hashes are Karp-Rabin hashes rolled over token numbers.
+stretch.  Seed hashes are Karp-Rabin hashes rolled over hashes of tokens.  A passage
+cut up and put together in another order has no long stretch, but its tiles
+cover it: such pairs are reported as ``reordered``.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
 
 SEED_WORDS, SEED_CHARS = 5, 8
 #: Shortest stretch that counts, in words and in characters of unspaced scripts; words that must agree between two exchanged ones.
 LEAST_WORDS, LEAST_CHARS, BETWEEN = 12, 20, 10
-#: Characters of item text whose vocabulary is broadcast at once; larger test sets go through in blocks of this size.
+#: Share of a passage under tiles from which it counts as reordered where it has no long enough stretch.
+COVERED = 0.8
+#: Shared windows without which neither rule can hold: twelve words have eight windows of five, one exchanged word takes
+#: at most five; tiles that cover a passage of twelve words are two at least.
+LEAST_WINDOWS = 2
+#: Characters of item text whose seed hashes are broadcast at once; larger test sets go through in blocks of this size.
 BLOCK_CHARS = 20_000_000
 BASE, MASK = 1_000_003, (1 << 61) - 1
 
@@ -38,16 +46,29 @@ def tokens(text: str) -> list[str]:
     return _TOKENS.findall(text.casefold())
 
 
+class _Hashes(dict):
+    """Hash of each token, computed once; the memory starts anew when it is large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) >> 1
+        return h
+
+    def of(self, toks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, toks), dtype=np.int64, count=len(toks))
+
+
 def _is_unspaced(toks: list[str]) -> bool:
     return 2 * sum(len(t) == 1 and bool(re.match(f"[{_UNSPACED}]", t)) for t in toks) > len(toks)
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hash of each window of ``k`` token numbers (wrapping 64-bit arithmetic)."""
+    """Karp-Rabin hash of each window of ``k`` token hashes (wrapping 64-bit arithmetic)."""
     n = len(ids) - k + 1
     out = np.zeros(max(0, n), dtype=np.uint64)
     for i in range(k if n > 0 else 0):
-        out = out * np.uint64(BASE) + (ids[i : i + n] + 2).astype(np.uint64)
+        out = out * np.uint64(BASE) + ids[i : i + n].astype(np.uint64)
     return (out & np.uint64(MASK)).astype(np.int64) * 2 + (k == SEED_CHARS)
 
 
@@ -60,13 +81,13 @@ def _grow(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int
     found, done = [], {}
     for j in np.flatnonzero(np.isin(shared, np.fromiter(places, dtype=np.int64, count=len(places)))):
         for p in places[int(shared[j])]:
-            if done.get(j - p, -1) >= p or not np.array_equal(doc[j : j + k], item[p : p + k]) or doc[j] < 0:
+            if done.get(j - p, -1) >= p or not np.array_equal(doc[j : j + k], item[p : p + k]):
                 continue
             a, b = int(j), p
-            while a > 0 and b > 0 and doc[a - 1] == item[b - 1] >= 0:
+            while a > 0 and b > 0 and doc[a - 1] == item[b - 1]:
                 a, b = a - 1, b - 1
             e, f = int(j) + k, p + k
-            while e < len(doc) and f < len(item) and doc[e] == item[f] >= 0:
+            while e < len(doc) and f < len(item) and doc[e] == item[f]:
                 e, f = e + 1, f + 1
             done[j - p] = f - k
             found.append((f - b, a, b))
@@ -100,11 +121,11 @@ def longest_stretch(found: list[tuple[int, int, int]], doc: np.ndarray, item: np
         while True:
             end_doc, end_item = a + n, b + n
             tail = 0  # a short agreeing run behind one more exchanged word
-            while end_doc + 1 + tail < len(doc) and end_item + 1 + tail < len(item) and doc[end_doc + 1 + tail] == item[end_item + 1 + tail] >= 0:
+            while end_doc + 1 + tail < len(doc) and end_item + 1 + tail < len(item) and doc[end_doc + 1 + tail] == item[end_item + 1 + tail]:
                 tail += 1
             own = found[start]
             head = 0
-            while own[0] - 2 - head >= 0 and own[1] - 2 - head >= 0 and doc[own[0] - 2 - head] == item[own[1] - 2 - head] >= 0:
+            while own[0] - 2 - head >= 0 and own[1] - 2 - head >= 0 and doc[own[0] - 2 - head] == item[own[1] - 2 - head]:
                 head += 1
             longer = end_item - first
             if tail >= 3 and (b == first or n >= BETWEEN):  # an inner run needs ten words, an outer one doesn't
@@ -128,54 +149,57 @@ def _blocks(items: DataFrame, text: str) -> list[DataFrame]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage") -> DataFrame:
-    """(key, item_key, stretch, coverage): every document with a long enough stretch of an item's passage.
+    """(key, item_key, stretch, coverage, leak): every document with a long enough stretch of an item's passage, or with
+    most of the passage in another order.
 
     ``stretch`` counts passage words (characters of unspaced scripts), ``coverage`` is the share of the passage under
-    tiles, which stays high where a passage was reordered.  Null or empty texts and passages match nothing; repeated
-    rows give one pair.  Items too many for one broadcast vocabulary are searched in blocks.
+    tiles, ``leak`` is ``stretch`` or ``reordered``.  Null or empty texts and passages match nothing; repeated rows give
+    one pair.  Items too many for one broadcast of seed hashes are searched in blocks.
     """
     out = None
     for block in _blocks(items.select(F.col(item_key).alias("i"), F.col(passage).alias("p")).filter("p is not null"), "p"):
         part = _search(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null"), block)
         out = part if out is None else out.unionByName(part)
-    return out.select(F.col("k").alias(key), F.col("i").alias(item_key), "stretch", "coverage")
+    return out.select(F.col("k").alias(key), F.col("i").alias(item_key), "stretch", "coverage", "leak")
 
 
 def _search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    rows = [(r["i"], tokens(r["p"])) for r in items.distinct().collect()]  # bounded by BLOCK_CHARS
-    number: dict[str, int] = {}
-    coded = [(i, np.array([number.setdefault(t, len(number)) for t in toks], dtype=np.int64), _is_unspaced(toks)) for i, toks in rows]
-    seeds = [(int(h), i) for i, ids, chars in coded for h in set(rolling(ids, SEED_CHARS if chars else SEED_WORDS).tolist())]
-    hashes = np.unique(np.array([h for h, _ in seeds], dtype=np.int64))
-    kind = items.schema["i"].dataType
-    item_rows = spark.createDataFrame([(i, ids.tolist(), chars) for i, ids, chars in coded], T.StructType([T.StructField("i", kind), T.StructField("item", T.ArrayType(T.LongType())), T.StructField("chars", T.BooleanType())]))
-    seed_rows = spark.createDataFrame(seeds, T.StructType([T.StructField("hit", T.LongType()), T.StructField("i", kind)]))
-    shared = spark.sparkContext.broadcast((number, hashes))
+    def code_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _Hashes()
+        for b in batches:
+            rows = []
+            for i, p in zip(b["i"], b["p"]):
+                toks = tokens(p)
+                ids, chars = hashes.of(toks), _is_unspaced(toks)
+                rows.append((i, ids, chars, np.unique(rolling(ids, SEED_CHARS if chars else SEED_WORDS))))
+            yield pd.DataFrame(rows, columns=["i", "item", "chars", "seeds"])
+
+    kind = items.schema["i"].dataType.simpleString()
+    coded = cut(items.distinct().mapInPandas(code_items, f"i {kind}, item array<bigint>, chars boolean, seeds array<bigint>"))
+    seeds = coded.select("i", F.explode("seeds").alias("hit"))
+    wanted = np.sort(seeds.select("hit").distinct().toPandas()["hit"].to_numpy(dtype=np.int64))  # 8 bytes a token of BLOCK_CHARS
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, wanted = shared.value
-        get = known.get
+        known, hashes = shared.value, _Hashes()
         for b in batches:
             out = []
-            for k, t in zip(b["k"], b["t"]):
-                ids = np.fromiter((get(x, -1) for x in tokens(t)), dtype=np.int64)
-                hits = set()
-                for n in (SEED_WORDS, SEED_CHARS):
-                    inside = np.convolve(ids < 0, np.ones(n, dtype=np.int64), "valid") == 0 if len(ids) >= n else np.zeros(0, bool)
-                    if inside.any():
-                        h = rolling(ids, n)[inside]
-                        hits |= set(h[np.isin(h, wanted)].tolist())
-                if hits:
-                    out.append((k, ids, sorted(hits)))
-            yield pd.DataFrame(out, columns=["k", "doc", "hits"])
-
-    schema = f"k {docs.schema['k'].dataType.simpleString()}, doc array<bigint>, hits array<bigint>"
+            for k, t in zip(b["k"], b["t"]) if len(known) else ():
+                ids = hashes.of(tokens(t))
+                both = np.concatenate([rolling(ids, SEED_WORDS), rolling(ids, SEED_CHARS)])
+                both = both[known[np.minimum(np.searchsorted(known, both), len(known) - 1)] == both]
+                if len(both) >= LEAST_WINDOWS:
+                    hits, n = np.unique(both, return_counts=True)
+                    out.append((k, ids, hits, n))
+            yield pd.DataFrame(out, columns=["k", "doc", "hits", "n"])
+
+    schema = f"k {docs.schema['k'].dataType.simpleString()}, doc array<bigint>, hits array<bigint>, n array<bigint>"
     coded_docs = cut(docs.mapInPandas(code, schema).withColumn("uid", F.xxhash64("k", "doc")))
-    pairs = coded_docs.select("uid", "k", F.explode("hits").alias("hit")).join(F.broadcast(seed_rows) if len(seeds) < 1_000_000 else seed_rows, "hit").groupBy("uid", "k", "i").agg(F.count("*").alias("seeds"))
+    windows = coded_docs.select("uid", "k", F.explode(F.arrays_zip("hits", "n")).alias("w")).select("uid", "k", F.col("w.hits").alias("hit"), F.col("w.n").alias("n"))
+    pairs = windows.join(seeds, "hit").groupBy("uid", "k", "i").agg(F.sum("n").alias("shared")).filter(F.col("shared") >= LEAST_WINDOWS)
     texts = coded_docs.select("uid", F.col("k").alias("k2"), "doc").dropDuplicates(["uid", "k2"])
     together = pairs.alias("x").join(texts.alias("y"), (F.col("x.uid") == F.col("y.uid")) & F.col("x.k").eqNullSafe(F.col("y.k2")))
-    together = together.join(item_rows, "i")
+    together = together.join(coded.select("i", "item", "chars"), "i")
 
     @F.pandas_udf("stretch long, coverage double, chars boolean")
     def tile(doc: pd.Series, item: pd.Series, chars: pd.Series) -> pd.DataFrame:
@@ -186,6 +210,8 @@ def _search(docs: DataFrame, items: DataFrame) -> DataFrame:
             out.append((longest_stretch(found, d, p, 4 if c else 1), sum(n for _, _, n in found) / max(1, len(p)), c))
         return pd.DataFrame(out, columns=["stretch", "coverage", "chars"])
 
-    scored = together.select("k", "i", tile("doc", "item", "chars").alias("s"))
+    scored = together.select("k", "i", F.size("item").alias("size"), tile("doc", "item", "chars").alias("s"))
     least = F.when(F.col("s.chars"), F.lit(LEAST_CHARS)).otherwise(F.lit(LEAST_WORDS))
-    return scored.filter(F.col("s.stretch") >= least).groupBy("k", "i").agg(F.max("s.stretch").alias("stretch"), F.max("s.coverage").alias("coverage"))
+    leak = F.when(F.col("s.stretch") >= least, F.lit("stretch")).when((F.col("s.coverage") >= COVERED) & (F.col("size") >= least), F.lit("reordered"))
+    best = scored.withColumn("leak", leak).filter("leak is not null").groupBy("k", "i")
+    return best.agg(F.max("s.stretch").alias("stretch"), F.max("s.coverage").alias("coverage"), F.max("leak").alias("leak"))  # stretch is the greater word

@@ -410,3 +410,15 @@ def test_first_arrival_and_sizes(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.token_count(F.col("t")).alias("n")).collect()
     assert {r["t"]: r["n"] for r in got} == texts
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_reordered_passage_is_found_by_coverage(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9)))
+    passage = [word() for _ in range(60)]
+    tenths = [passage[i : i + 10] for i in range(0, 60, 10)]
+    mixed = " ".join(w for i in (3, 0, 5, 2, 4, 1) for w in [*tenths[i], word()])
+    docs = spark.createDataFrame([(1, mixed), (2, " ".join(passage[5:25])), (3, " ".join(passage[:9])), (4, "yes " * 400), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage)), (8, "yes " * 14), (9, None)], "item_id long, passage string")
+    got = {(r["doc_id"], r["item_id"]): (r["leak"], r["coverage"]) for r in leaks.find_leaks(docs, items).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 7): "reordered", (2, 7): "stretch", (4, 8): "stretch"} and got[(1, 7)][1] == 1.0
