@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+# fixed values: actions, identity fields and contracts of the protocol
 ACTIONS = ("read_page", "read_chatlog", "read_memo", "write_memo", "publish", "help")
 IDENTITY = {"title": "", "category": "", "summary": "", "tags": [], "language": [], "confidence": 0.0}
 CONTRACTS: dict[str, dict] = {
@@ -47,45 +48,65 @@ def _kind(doc: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
 
 
+_NUMBER = "^(BIGINT|DOUBLE|DECIMAL|FLOAT)"
+
+
+def _slot(want: Any) -> tuple[str, str] | None:
+    """Pattern of the types that fill an empty template value and what a problem says; None for a value that is fixed."""
+    if isinstance(want, dict):
+        return "^OBJECT", "expected object"
+    if want is None:
+        return "", ""
+    if isinstance(want, bool):
+        return None
+    if want == "":
+        return "^STRING$", "expected string"
+    if want == []:
+        return "^ARRAY", "expected list"
+    return (_NUMBER, "expected number") if want == 0 else None
+
+
+def _equals(doc: Column, path: str, kind: Column, want: Any) -> Column:
+    """Whether the value at a path is this one, of this type; numbers compare by value, whole or not."""
+    got = F.get_json_object(doc, path)
+    if isinstance(want, bool):
+        return (kind == "BOOLEAN") & (got == str(want).lower())
+    if isinstance(want, (int, float)):
+        return (kind.rlike(_NUMBER) & (got.try_cast("double") == float(want))) | ((kind == "BOOLEAN") & F.lit(want == 1) & (got == "true"))  # true equals 1
+    if isinstance(want, str):
+        return (kind == "STRING") & (got == want)
+    same = F.to_json(F.try_parse_json(got)) == F.to_json(F.parse_json(F.lit(json.dumps(want))))
+    return kind.startswith("ARRAY") & same
+
+
 def check_template(doc: Column, template: dict[str, Any]) -> Column:
-    """Array of problems of a JSON object against a template, in the template's order, unknown keys last.
+    """Array of problems of a JSON object against a template: an object's own keys in the template's order, its unknown
+    keys behind them, and so for each object within, in its place.
 
-    Empty values are typed slots, null takes anything, other values must be equal; objects nest.  The template is
-    compiled when the query is planned.
+    Empty values are typed slots, null takes anything, other values must be equal and of the same type; objects nest.
+    The template is compiled when the query is planned.
     """
-    checks, extras = [], []
+    nothing = F.array().cast("array<string>")
 
-    def walk(node: dict[str, Any], keys: tuple[str, ...]) -> None:
+    def problems(node: dict[str, Any], keys: tuple[str, ...]) -> Column:
+        """Problems of one object that is known to be there."""
+        here, prefix = "$" + "".join(f"['{k}']" for k in keys), ".".join(keys) + "." if keys else ""
+        found = []
         for key, want in node.items():
-            path, label = "$" + "".join(f"['{k}']" for k in (*keys, key)), ".".join((*keys, key))
+            path, label, slot = f"{here}['{key}']", prefix + key, _slot(want)
             kind = _kind(doc, path)
-            missing = kind.isNull()
-            if isinstance(want, dict):
-                bad, say = ~kind.startswith("OBJECT"), "expected object"
-            elif want is None:
-                bad, say = F.lit(False), ""
-            elif isinstance(want, bool):
-                bad, say = (kind != "BOOLEAN") | (F.get_json_object(doc, path) != str(want).lower()), f"expected {want}"
-            elif want == "":
-                bad, say = kind != "STRING", "expected string"
-            elif want == []:
-                bad, say = ~kind.startswith("ARRAY"), "expected list"
-            elif isinstance(want, (int, float)) and want == 0:
-                bad, say = ~kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "expected number"
+            if slot is None:
+                wrong = F.when(~F.coalesce(_equals(doc, path, kind, want), F.lit(False)), F.array(F.lit(f"{label}: expected {want!r}")))
             else:
-                bad, say = F.coalesce(F.get_json_object(doc, path) != str(want), F.lit(True)), f"expected {want!r}"
-            parent = F.lit(True) if not keys else F.coalesce(_kind(doc, "$" + "".join(f"['{k}']" for k in keys)).startswith("OBJECT"), F.lit(False))
-            checks.append(F.when(parent & missing, F.lit(f"{label}: missing")).when(parent & bad, F.lit(f"{label}: {say}")))
+                wrong = F.when(~kind.rlike(slot[0]), F.array(F.lit(f"{label}: {slot[1]}")))
             if isinstance(want, dict):
-                walk(want, (*keys, key))
-        own = F.json_object_keys(doc if not keys else F.get_json_object(doc, "$" + "".join(f"['{k}']" for k in keys)))
-        prefix = ".".join(keys) + "." if keys else ""
-        unknown = F.array_except(F.coalesce(own, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in node]))
-        extras.append(F.transform(unknown, lambda k: F.concat(F.lit(prefix), k, F.lit(": unexpected"))))
+                wrong = F.coalesce(wrong, problems(want, (*keys, key)))
+            found.append(F.when(kind.isNull(), F.array(F.lit(f"{label}: missing"))).otherwise(F.coalesce(wrong, nothing)))
+        own = F.json_object_keys(F.get_json_object(doc, here) if keys else doc)
+        unknown = F.filter(F.coalesce(own, nothing), lambda k: ~k.isin(*node) if node else F.lit(True))
+        return F.concat(*found, F.transform(unknown, lambda k: F.concat(F.lit(prefix), k, F.lit(": unexpected"))))
 
-    walk(template, ())
-    found = F.concat(F.filter(F.array(*checks), lambda p: p.isNotNull()), *extras)
-    return F.when(doc.isNull(), F.array(F.lit("root: expected object"))).otherwise(found)
+    return F.when(doc.isNull(), F.array(F.lit("root: expected object"))).otherwise(problems(template, ()))
 
 
 def short_problems(problems: Column) -> Column:
@@ -93,18 +114,17 @@ def short_problems(problems: Column) -> Column:
     return F.array_join(F.transform(problems, lambda p: F.regexp_replace(p, r"^[^.]*\.", "")), "; ")
 
 
+#: JSON schema types of template values, by their Python types; null takes anything.
+_SCHEMA_TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
+
+
 def json_schema(template: Any, enums: dict[str, list] | None = None) -> dict:
     """Closed JSON schema of a template; enumerations apply to its top keys."""
-    if isinstance(template, dict):
-        out = {"type": "object", "properties": {k: json_schema(v) for k, v in template.items()}, "required": list(template), "additionalProperties": False}
-        for key, values in (enums or {}).items():
-            if key in out["properties"]:
-                out["properties"][key]["enum"] = list(values)
-        return out
-    for types, name in ((list, "array"), (bool, "boolean"), ((int, float), "number"), (str, "string")):
-        if isinstance(template, types):
-            return {"type": name}
-    return {}
+    schema = {"type": _SCHEMA_TYPES[type(template)]} if type(template) in _SCHEMA_TYPES else {}
+    if schema.get("type") == "object":
+        parts = {key: json_schema(value) | ({"enum": list(enums[key])} if enums and key in enums else {}) for key, value in template.items()}
+        schema |= {"properties": parts, "required": [*parts], "additionalProperties": False}
+    return schema
 
 
 def response_format(name: str) -> dict:

@@ -95,9 +95,13 @@ def notable(name: Column, patterns: list[str] = NOTABLE) -> Column:
 
 
 def walk_key(path: Column) -> Column:
-    """Sorts like a walk through folders: a folder's own files first, then its folders, each by name."""
+    """Array that sorts like a walk through folders: a folder's own files first, then its folders, each by name.
+
+    Names are compared part by part; joined to one text, a folder would sort behind longer names that go on with a
+    character below the slash.
+    """
     parts = F.split(path, "/")
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), p)), "/")
+    return F.transform(parts, lambda p, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), p))
 
 
 def estimated_tokens(chars: Column, chunk: int = 4) -> Column:
@@ -113,9 +117,19 @@ def render(template: Column, **values: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: split_sentences(text), paginate(text), looks_binary(bytes), safe_path(name), strip_text(text)."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strip_text(t STRING) RETURNS STRING RETURN regexp_replace(t, r'^[{SPACE}]+|[{SPACE}]+$', '')")
-    spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION split_sentences(t STRING) RETURNS ARRAY<STRING> RETURN filter(transform(regexp_extract_all(t, r'[^{ENDS}]*[{ENDS}]|[^{ENDS}]+$', 0), x -> regexp_replace(x, r'^[{SPACE}]+|[{SPACE}]+$', '')), x -> x <> '')"
-    )
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION looks_binary(b BINARY) RETURNS BOOLEAN RETURN coalesce(contains(decode(substring(b, 1, 8192), 'ISO-8859-1'), chr(0)), false)")
+    """SQL functions: split_sentences(text), paginate(text, page_chars, longest), looks_binary(bytes), safe_path(name), strip_text(text).
+
+    They are the same rules as the Columns of these names; ``longest`` is the longest sentence a page keeps.
+    """
+    made = {
+        "strip_text(t STRING) RETURNS STRING": f"regexp_replace(t, r'^[{SPACE}]+|[{SPACE}]+$', '')",
+        "split_sentences(t STRING) RETURNS ARRAY<STRING>": "filter(transform(split(t, r'(?<=[" + ENDS + "])', -1), x -> regexp_replace(x, r'^[" + SPACE + "]+|[" + SPACE + "]+$', '')), x -> x <> '')",
+        "looks_binary(b BINARY) RETURNS BOOLEAN": r"""(SELECT coalesce(contains(c, chr(0)) OR length(c) > 0 AND length(regexp_replace(c, r'[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '')) / length(c) < 0.9, false)
+            FROM (SELECT decode(substring(b, 1, 8192), 'ISO-8859-1') AS c))""",
+        "safe_path(n STRING) RETURNS STRING": r"""(SELECT CASE WHEN NOT (p RLIKE r'^/|(^|/)\.\.(/|$)' OR substring(n, 2, 1) = ':') THEN nullif(array_join(filter(split(p, '/'), x -> x NOT IN ('', '.')), '/'), '') END
+            FROM (SELECT translate(n, chr(92), '/') AS p))""",
+        "paginate(t STRING, page_chars INT, longest INT) RETURNS ARRAY<STRING>": """aggregate(filter(split_sentences(t), x -> length(x) <= longest), CAST(array() AS ARRAY<STRING>),
+            (a, x) -> CASE WHEN size(a) > 0 AND length(element_at(a, -1)) + 1 + length(x) <= page_chars THEN concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), chr(10), x))) ELSE concat(a, array(x)) END)""",
+    }
+    for head, body in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -12,11 +12,28 @@ from ..functions import replies as R, text as X
 FORCE = 500  # estimated tokens; small, as messages here are short
 
 
+#: Keys that arrive more than once are broadcast up to this number (some 16 MB); beyond it whole rows are shuffled by key.
+FEW_KEYS = 1_000_000
+
+
+def first_arrivals(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """One row per ``key``: the earliest by ``time``, nulls last; rows without a key count as one.
+
+    Only keys are counted over all rows; those that arrive once, nearly all, stay where they are, so that later
+    projections reach the scan.
+    """
+    again = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n")).filter("n > 1").select("__k")
+    cols = [c for c in rows.columns if c != key]
+    first = lambda df: df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.col(time).isNull(), time)).alias("m")).select(key, "m.*").select(*rows.columns)
+    if again.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+        return first(rows)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    return rows.join(F.broadcast(again), same, "left_anti").unionByName(first(rows.join(F.broadcast(again), same, "left_semi")))
+
+
 def unique_messages(messages: DataFrame) -> DataFrame:
     """Each ``msg_id`` once, its first arrival; speaker without case and surrounding space."""
-    cols = [c for c in messages.columns if c != "msg_id"]
-    one = messages.groupBy("msg_id").agg(F.min_by(F.struct(*cols), F.struct(F.col("logged_at").isNull(), "logged_at")).alias("m")).select("msg_id", "m.*")
-    return one.withColumn("speaker", F.lower(X.strip(F.col("role"))))
+    return first_arrivals(messages, "msg_id", "logged_at").withColumn("speaker", F.lower(X.strip(F.col("role"))))
 
 
 def session_totals(messages: DataFrame) -> DataFrame:
@@ -104,32 +121,40 @@ def pages_read(requests: DataFrame) -> DataFrame:
     return got.select("run_id", F.size("p").cast("bigint").alias("n_read"), F.array_join(F.transform("p", lambda x: x.cast("string")), ", ").alias("read"))
 
 
-def memo_pages(replies: DataFrame, page_chars: int = 500, ratio: float = 0.5) -> DataFrame:
-    """(run_id, msg_id, section, pages, tail): the memo of a run after each note, re-paged as it grows.
+def _memo_events(replies: DataFrame, page_chars: int, ratio: float) -> DataFrame:
+    """(run_id, msg_id, branch, section, pages, tail) after each note, and as each request for a memo page finds the memo.
 
-    Adding a section only fills on from the last page, so the state per run is that page and a count; ``tail`` is the
-    page shown when a session opens.
+    Adding a section only fills on from the last page, so the state per run is that page and two counts.
     """
-    rows = replies.filter("branch = 'write_memo'").select("run_id", "session", "turn", "msg_id", R.text_field(F.col("doc"), "memo").alias("memo")).filter("memo is not null")
-    rows = rows.withColumn("parts", F.filter(X.sentences(F.col("memo")), lambda s: F.length(s) <= X.longest_sentence(page_chars, ratio))).drop("memo")
+    rows = replies.filter("branch in ('write_memo', 'read_memo')").select("run_id", "session", "turn", "msg_id", "branch", R.text_field(F.col("doc"), "memo").alias("memo")).filter("branch = 'read_memo' or memo is not null")
+    parts = F.filter(X.sentences(F.col("memo")), lambda s: F.length(s) <= X.longest_sentence(page_chars, ratio))
+    rows = rows.withColumn("parts", F.when(F.col("branch") == "write_memo", parts)).drop("memo")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, section, done, page = None, 0, 0, ""
         for b in batches:
             out = []
-            for run, msg, parts in zip(b["run_id"], b["msg_id"], b["parts"]):
+            for run, msg, branch, parts in zip(b["run_id"], b["msg_id"], b["branch"], b["parts"]):
                 if run != key:
                     key, section, done, page = run, 0, 0, ""
-                section += 1
-                for s in parts:
+                section += branch == "write_memo"
+                for s in parts if branch == "write_memo" else ():
                     if page and len(page) + 1 + len(s) > page_chars:
                         done, page = done + 1, s
                     else:
                         page = f"{page}\n{s}" if page else s
-                out.append((run, msg, section, done + (page != ""), page))
-            yield pd.DataFrame(out, columns=["run_id", "msg_id", "section", "pages", "tail"])
+                out.append((run, msg, branch, section, done + (page != ""), page if branch == "write_memo" else None))
+            yield pd.DataFrame(out, columns=["run_id", "msg_id", "branch", "section", "pages", "tail"])
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "session", "turn", "msg_id").mapInPandas(fill, "run_id string, msg_id long, branch string, section long, pages long, tail string")
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "session", "turn", "msg_id").mapInPandas(fill, "run_id string, msg_id long, section long, pages long, tail string")
+
+def memo_pages(replies: DataFrame, page_chars: int = 500, ratio: float = 0.5) -> DataFrame:
+    """(run_id, msg_id, section, pages, tail): the memo of a run after each note, re-paged as it grows.
+
+    ``tail`` is the page shown when a session opens.
+    """
+    return _memo_events(replies, page_chars, ratio).filter("branch = 'write_memo'").drop("branch")
 
 
 def last_memos(memos: DataFrame) -> DataFrame:
@@ -138,15 +163,19 @@ def last_memos(memos: DataFrame) -> DataFrame:
     return last.select("run_id", F.col("m.section").alias("sections"), "m.pages", "m.tail")
 
 
-def memo_verdicts(replies: DataFrame) -> DataFrame:
+def memo_verdicts(replies: DataFrame, page_chars: int = 500, ratio: float = 0.5) -> DataFrame:
     """(msg_id, branch, verdict) of notes and of requests for pages of notes or history.
 
-    A note that isn't text is rejected; a page must be a whole number from 1, and may be read again.
+    A note that isn't text is rejected; a page must be a whole number from 1, a memo page one the memo has by then, and
+    may be read again.
     """
     rows = replies.filter("branch in ('write_memo', 'read_memo', 'read_chatlog')")
+    memo = _memo_events(replies, page_chars, ratio).filter("branch = 'read_memo'").select(F.col("msg_id").alias("m"), "pages")
+    asked = rows.join(memo, F.col("msg_id") == F.col("m"), "left")
     note = F.when(R.text_field(F.col("doc"), "memo").isNull(), "memo_reject").otherwise("memo_saved")
-    page = F.when(F.coalesce(F.col("page") >= 1, F.lit(False)), "deliver").otherwise("stall")
-    return rows.select("msg_id", "branch", F.when(F.col("branch") == "write_memo", note).otherwise(page).alias("verdict"))
+    there = (F.col("page") >= 1) & ((F.col("branch") != "read_memo") | (F.col("page") <= F.col("pages")))
+    page = F.when(F.coalesce(there, F.lit(False)), "deliver").otherwise("stall")
+    return asked.select("msg_id", "branch", F.when(F.col("branch") == "write_memo", note).otherwise(page).alias("verdict"))
 
 
 def summary_replies(messages: DataFrame) -> DataFrame:

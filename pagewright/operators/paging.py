@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 
 PAGE_CHARS, RATIO = 3000, 0.1
+# fixed value: what the catalog of a package without content says
+NO_CONTENT = "no content pages (nothing usable was extracted)"
 
 
 def recognized(files: DataFrame, path: str = "rel", content: str = "content", head: int = 8192) -> DataFrame:
@@ -68,7 +70,7 @@ def packages(files: DataFrame, page_chars: int = PAGE_CHARS, ratio: float = RATI
     total = (F.size("content") + 2).cast("string")
     listing = F.array_join(F.transform("content", lambda p, i: F.concat(F.lit("p"), (i + 2).cast("string"), F.lit("="), F.length(p).cast("string"), F.lit(" chars"))), ", ")
     catalog = F.concat(
-        F.lit("Catalog (this page is p1 of "), total, F.lit("): "), F.when(F.size("content") > 0, listing).otherwise(F.lit("no content pages, as nothing usable was found")),
+        F.lit("Catalog (this page is p1 of "), total, F.lit("): "), F.when(F.size("content") > 0, listing).otherwise(F.lit(NO_CONTENT)),
         F.lit("; p"), total, F.lit("=metadata page (extracted file list and stats)."),
     )
     every = made.select(target, F.posexplode(F.concat(F.array(catalog), F.col("content"), F.array("metadata"))).alias("i", "page"))

@@ -58,10 +58,10 @@ def published(profiles: DataFrame, states: DataFrame) -> DataFrame:
     good = profile_problems(profiles).filter("n = 0").select("run_id")
     runs = states.filter("status = 'done' and state = 'ok'").select("run_id", F.concat("target", F.lit(".publish.json")).alias("path"))
     rows = profiles.join(good, "run_id", "left_semi").join(runs, "run_id")
-    return rows.select("path", "run_id", "title", "category", "summary", F.array_join("tags", "|").alias("tags"), F.array_join("language", "|").alias("language"), "confidence")
+    return rows.select("path", "run_id", "title", "category", "summary", "tags", "language", "confidence")
 
 
 def write_sidecars(rows: DataFrame, folder: str) -> None:
     """One JSON document per row under ``folder``; Spark's commit protocol replaces temporary names."""
-    doc = F.to_json(F.struct(F.struct("title", "category", "summary", F.split("tags", r"\|").alias("tags"), F.split("language", r"\|").alias("language"), "confidence").alias("identity")))
+    doc = F.to_json(F.struct(F.struct("title", "category", "summary", "tags", "language", "confidence").alias("identity")))
     rows.select("path", doc.alias("value")).write.mode("overwrite").json(folder)

@@ -21,7 +21,7 @@ def scan(targets: DataFrame, members: DataFrame, contents: DataFrame, page_chars
     return packed, named.filter("error is not null").select("target", "error").unionByName(empty)
 
 
-def run_outcomes(registry: DataFrame, runlog: DataFrame, context: DataFrame, profiles: DataFrame) -> DataFrame:
+def run_outcomes(registry: DataFrame, context: DataFrame, profiles: DataFrame) -> DataFrame:
     """(run_id, outcome, pages): how far every registered run came; one row per run, whatever is missing elsewhere."""
     states = runs.registry_state(registry)
     packed = context.groupBy("run_id").agg(F.count("*").cast("bigint").alias("pages"))

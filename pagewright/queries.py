@@ -29,9 +29,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "context")
-    cols = [c for c in pages.columns if c != "page_id"]
-    return pages.groupBy("page_id").agg(F.min_by(F.struct(*cols), F.struct(F.col("packed_at").isNull(), "packed_at")).alias("m")).select("page_id", "m.*")
+    return M.first_arrivals(_t(spark, d, "context"), "page_id", "packed_at")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +78,7 @@ def password_probe(spark, d):
 
 
 def walk_order(spark, d):
-    return _t(spark, d, "documents").filter("rel is not null").select("doc_id", X.walk_key(F.col("rel")).alias("walk_key"), X.suffix(F.col("rel")).alias("ext"))
+    return _t(spark, d, "documents").filter("rel is not null").select("doc_id", F.array_join(X.walk_key(F.col("rel")), "/").alias("walk_key"), X.suffix(F.col("rel")).alias("ext"))
 
 
 def looks_binary(spark, d):
@@ -202,7 +200,8 @@ def check_template(spark, d):
 
 
 def publish_fill(spark, d):
-    return runs.published(_t(spark, d, "publish"), runs.registry_state(_t(spark, d, "registry")))
+    rows = runs.published(_t(spark, d, "publish"), runs.registry_state(_t(spark, d, "registry")))
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("tags", "language")})
 
 
 def render_prompt(spark, d):
@@ -235,7 +234,7 @@ def join_content_parts(spark, d):
 
 
 def profile_runs(spark, d):
-    return profiling.run_outcomes(_t(spark, d, "registry"), _t(spark, d, "runlog"), _context(spark, d), _t(spark, d, "publish"))
+    return profiling.run_outcomes(_t(spark, d, "registry"), _context(spark, d), _t(spark, d, "publish"))
 
 
 def replay_sessions(spark, d):
@@ -287,7 +286,7 @@ _CAPPED = f"""capped AS (SELECT *, row_number() OVER (PARTITION BY target ORDER
 
 
 def _walk(x: str) -> str:
-    return f"array_to_string(list_transform(string_split({x}, '/'), lambda p, i: CASE WHEN i = len(string_split({x}, '/')) THEN '0' ELSE '1' END || p), '/')"
+    return f"list_append(list_transform(string_split({x}, '/')[:-2], lambda p: '1' || p), '0' || string_split({x}, '/')[-1])"
 
 
 _FILES = f"""vfiles AS (SELECT source AS target, doc_id AS ord, rel AS name, CAST(strlen(text) AS BIGINT) AS size, false AS is_dir, text AS content FROM documents),
@@ -324,7 +323,7 @@ def _paged(key: str, page_chars: int, ratio: float) -> str:
 _CATALOG = f"""{_META.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_pieces('corpora', 'target')}, {_paged('target', PAGE_CHARS, RATIO)},
   counted AS (SELECT m.target, count(f.page_no) AS n, string_agg('p' || (f.page_no + 1) || '=' || length(f.text) || ' chars', ', ' ORDER BY f.page_no) AS listing, any_value(m.metadata) AS metadata
     FROM metadata m LEFT JOIN filled f ON f.target = m.target GROUP BY m.target),
-  catalog AS (SELECT target, n, metadata, 'Catalog (this page is p1 of ' || (n + 2) || '): ' || coalesce(listing, 'no content pages, as nothing usable was found') || '; p' || (n + 2)
+  catalog AS (SELECT target, n, metadata, 'Catalog (this page is p1 of ' || (n + 2) || '): ' || coalesce(listing, 'no content pages (nothing usable was extracted)') || '; p' || (n + 2)
     || '=metadata page (extracted file list and stats).' AS text FROM counted)"""
 
 _ONCE = f"""once AS (SELECT *, {_strip('role')} AS bare FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY logged_at NULLS LAST) AS a FROM messages) WHERE a = 1),
@@ -355,7 +354,7 @@ ORACLE: dict[str, str] = {
     "total_bytes_cap": f"WITH {_eligible('members')}, {_CAPPED} SELECT target, ord, rel, running FROM chosen",
     "listing_cap": "SELECT target, ord FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord) AS r FROM members) WHERE r <= 10",
     "password_probe": "SELECT target, name, size FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY size, ord) AS r FROM members WHERE NOT coalesce(is_dir, false) AND size > 0) WHERE r = 1",
-    "walk_order": f"SELECT doc_id, {_walk('rel')} AS walk_key, {_ext('rel')} AS ext FROM documents WHERE rel IS NOT NULL",
+    "walk_order": f"SELECT doc_id, array_to_string({_walk('rel')}, '/') AS walk_key, {_ext('rel')} AS ext FROM documents WHERE rel IS NOT NULL",
     "looks_binary": """SELECT doc_id, false AS plain, coalesce(strlen(text) > 0 AND (strlen(text) - length(regexp_replace(text, '[^aeo\\n]', '', 'g'))) / strlen(text)::DOUBLE < 0.9, false) AS odd FROM documents WHERE text IS NOT NULL""",
     "recognize_text": f"SELECT doc_id, length(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS chars FROM documents WHERE {_ext('rel')} IN ({_among(X.TEXT_SUFFIXES)}) AND strlen(text) > 0",
     "split_sentences": f"WITH {_pieces('documents', 'doc_id')} SELECT doc_id, pos, sentence FROM pieces",
@@ -386,8 +385,16 @@ ORACLE: dict[str, str] = {
     "doc_tail": f"""WITH RECURSIVE {_REPLIES}, notes AS (SELECT run_id, count(*) AS sections, string_agg(json_extract_string(doc, '$.memo'), chr(10) ORDER BY session NULLS FIRST, turn NULLS FIRST, msg_id) AS text
           FROM judged WHERE branch = 'write_memo' AND json_type(doc, '$.memo') = 'VARCHAR' GROUP BY run_id), {_pieces('notes', 'run_id')}, {_paged('run_id', 500, 0.5)}
         SELECT n.run_id, sections, count(page_no) AS pages, coalesce(arg_max(f.text, page_no), '') AS tail FROM notes n LEFT JOIN filled f ON f.run_id = n.run_id GROUP BY n.run_id, sections""",
-    "doc_page_guard": f"""WITH {_REPLIES} SELECT msg_id, branch, CASE WHEN branch = 'write_memo' THEN CASE WHEN coalesce(json_type(doc, '$.memo') = 'VARCHAR', false) THEN 'memo_saved' ELSE 'memo_reject' END
-        WHEN coalesce(page >= 1, false) THEN 'deliver' ELSE 'stall' END AS verdict FROM judged WHERE branch IN ('write_memo', 'read_memo', 'read_chatlog')""",
+    "doc_page_guard": f"""WITH RECURSIVE {_REPLIES}, ev AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY session NULLS FIRST, turn NULLS FIRST, msg_id) AS o FROM judged
+          WHERE branch IN ('write_memo', 'read_memo', 'read_chatlog')),
+        notes AS (SELECT run_id, msg_id, o, json_extract_string(doc, '$.memo') AS text FROM ev WHERE branch = 'write_memo' AND json_type(doc, '$.memo') = 'VARCHAR'), {_pieces('notes', 'msg_id')},
+        kept AS (SELECT n.run_id, n.o, row_number() OVER (PARTITION BY n.run_id ORDER BY n.o, p.pos) AS r, length(p.sentence) AS n FROM pieces p JOIN notes n USING (msg_id) WHERE length(p.sentence) <= 250),
+        fill AS (SELECT run_id, o, r, 1 AS page_no, n AS used FROM kept WHERE r = 1
+          UNION ALL SELECT k.run_id, k.o, k.r, CASE WHEN f.used + 1 + k.n > 500 THEN f.page_no + 1 ELSE f.page_no END, CASE WHEN f.used + 1 + k.n > 500 THEN k.n ELSE f.used + 1 + k.n END
+          FROM fill f JOIN kept k ON k.run_id = f.run_id AND k.r = f.r + 1),
+        grown AS (SELECT e.msg_id AS m, max(f.page_no) AS pages FROM ev e JOIN fill f ON f.run_id = e.run_id AND f.o < e.o WHERE e.branch = 'read_memo' GROUP BY e.msg_id)
+        SELECT msg_id, branch, CASE WHEN branch = 'write_memo' THEN CASE WHEN coalesce(json_type(doc, '$.memo') = 'VARCHAR', false) THEN 'memo_saved' ELSE 'memo_reject' END
+          WHEN coalesce(page >= 1 AND (branch <> 'read_memo' OR page <= coalesce(pages, 0)), false) THEN 'deliver' ELSE 'stall' END AS verdict FROM ev LEFT JOIN grown ON m = msg_id""",
     "check_summary": f"""WITH {_ONCE}, s AS (SELECT msg_id, nullif(regexp_extract(text, '(?s)\\{{.*\\}}'), '') AS cut FROM log WHERE prompt_key = 'chatlog_summarize_reply')
         SELECT msg_id, coalesce(json_valid(cut) AND json_keys(CASE WHEN json_valid(cut) THEN cut END) = ['summary'] AND json_type(CASE WHEN json_valid(cut) THEN cut END, '$.summary') = 'VARCHAR'
           AND {_strip("json_extract_string(CASE WHEN json_valid(cut) THEN cut END, '$.summary')")} <> '', false) AS valid FROM s""",
@@ -404,8 +411,7 @@ ORACLE: dict[str, str] = {
     "judge_extract": f"""SELECT run_id, CASE WHEN error <> '' THEN error WHEN NOT coalesce(ok, false) THEN 'extraction failed'
         WHEN coalesce(files_kept, 0) <= 0 THEN CASE WHEN coalesce({_TOLD}, '') <> '' THEN {_TOLD} ELSE 'no files kept' END END AS verdict FROM runlog""",
     "join_content_parts": "SELECT run_id, array_to_string(list_transform(tags, lambda x: coalesce(x, '')), '') AS content FROM publish",
-    "profile_runs": f"""WITH {_STATE}, {_PAGES}, {_PROBLEMS}, one AS (SELECT run_id, arg_max(error, finished_at) AS lerror, bool_or(ok) AS ok, max(files_kept) AS kept FROM runlog GROUP BY run_id),
-        packed AS (SELECT run_id, count(*) AS pages FROM pages GROUP BY run_id)
+    "profile_runs": f"""WITH {_STATE}, {_PAGES}, {_PROBLEMS}, packed AS (SELECT run_id, count(*) AS pages FROM pages GROUP BY run_id)
         SELECT run_id, CASE WHEN status <> 'done' THEN 'running' WHEN state <> 'ok' THEN 'failed' WHEN coalesce(pages, 0) = 0 THEN 'no context' WHEN p IS NULL THEN 'no profile' WHEN len(p) > 0 THEN 'invalid profile' ELSE 'published' END AS outcome,
           coalesce(pages, 0) AS pages FROM states LEFT JOIN packed USING (run_id) LEFT JOIN problems USING (run_id)""",
 }

@@ -60,9 +60,20 @@ def test_paths(spark):
     assert one(spark, "d/.hidden", X.suffix) == "" and one(spark, "a.TAR.Gz", X.suffix) == ".gz"
     for name, want in {"README.first": True, "x.exe": True, "my.key": True, "key.my": False, "author": True, "notes": False}.items():
         assert one(spark, name, X.notable) is want
-    names = ["b/a.txt", "a.txt", "b/c/d.txt", "b.txt", "a/z.txt"]
+
+
+def walked(names, folder=()):
+    """Names as a walk from folder to folder meets them."""
+    inside = [n for n in names if tuple(n.split("/")[: len(folder)]) == folder]
+    files = sorted(n for n in inside if n.count("/") == len(folder))
+    deeper = sorted({n.split("/")[len(folder)] for n in inside if n.count("/") > len(folder)})
+    return files + [n for d in deeper for n in walked(names, (*folder, d))]
+
+
+def test_walk_order_compares_names_part_by_part(spark):
+    names = ["b/a.txt", "a.txt", "b/c/d.txt", "b.txt", "a/b.txt", "a!/z.txt", "a-b/c.txt", "a b/x.txt", "a.b/q/y.txt", "a/b/!.txt", "a/b-c/k.txt", "a/b/c/m.txt", "ä/n.txt", "a0/o.txt"]
     rows = spark.createDataFrame([(n,) for n in names], "v string").orderBy(X.walk_key(F.col("v"))).collect()
-    assert [r["v"] for r in rows] == ["a.txt", "b.txt", "a/z.txt", "b/a.txt", "b/c/d.txt"]
+    assert [r["v"] for r in rows] == walked(names)
 
 
 def test_reply_json(spark):
@@ -73,16 +84,36 @@ def test_reply_json(spark):
     assert one(spark, None, R.reply_json) is None
 
 
+SHAPE = {"kind": "note", "size": 0, "place": {"shelf": "", "level": 4, "box": {"open": True, "marks": []}}, "extra": None}
+FILLED = {"kind": "note", "size": 2.5, "place": {"shelf": "left", "level": 4, "box": {"open": True, "marks": ["x"]}}, "extra": [1]}
+
+
+def changed(path, value=None, drop=False):
+    doc = json.loads(json.dumps(FILLED))
+    node = doc
+    for k in path[:-1]:
+        node = node[k]
+    if drop:
+        del node[path[-1]]
+    else:
+        node[path[-1]] = value
+    return doc
+
+
 def test_template_check(spark):
-    t = {"a": "", "b": [], "c": 0, "d": None, "e": "fixed", "f": {"g": ""}}
-    good = {"a": "x", "b": [1], "c": 1.5, "d": {"any": 1}, "e": "fixed", "f": {"g": "y"}}
-    for change, want in (
-        ({}, []), ({"a": 1}, ["a: expected string"]), ({"b": "x"}, ["b: expected list"]), ({"c": True}, ["c: expected number"]), ({"c": "1"}, ["c: expected number"]), ({"e": "other"}, ["e: expected 'fixed'"]),
-        ({"f": {}}, ["f.g: missing"]), ({"f": 3}, ["f: expected object"]), ({"z": 1}, ["z: unexpected"]), ({"a": None}, ["a: expected string"]),
-    ):
-        assert one(spark, json.dumps(good | change), lambda c: R.check_template(c, t)) == want, change
-    assert one(spark, json.dumps({k: v for k, v in good.items() if k not in "ad"}), lambda c: R.check_template(c, t)) == ["a: missing", "d: missing"]
-    assert one(spark, None, lambda c: R.check_template(c, t)) == ["root: expected object"]
+    cases = [
+        (FILLED, []), (changed(["size"], 4), []), (changed(["size"], True), ["size: expected number"]), (changed(["size"], "2"), ["size: expected number"]),
+        (changed(["kind"], "memo"), ["kind: expected 'note'"]), (changed(["place", "level"], "4"), ["place.level: expected 4"]), (changed(["place", "level"], 4.0), []), (changed(["place", "level"], None), ["place.level: expected 4"]),
+        (changed(["place", "box", "open"], "true"), ["place.box.open: expected True"]), (changed(["place", "box", "open"], False), ["place.box.open: expected True"]), (changed(["place", "box", "marks"], {}), ["place.box.marks: expected list"]),
+        (changed(["place", "box"], 7), ["place.box: expected object"]), (changed(["place"], drop=True), ["place: missing"]), (changed(["place", "shelf"], None), ["place.shelf: expected string"]), (changed(["extra"], drop=True), ["extra: missing"]),
+    ]
+    for doc, want in cases:
+        assert one(spark, json.dumps(doc), lambda c: R.check_template(c, SHAPE)) == want, doc
+    mixed = changed(["place", "box", "lid"], 1) | {"kind": "note", "new": 1}
+    mixed["place"]["side"], mixed["extra"] = 2, 3
+    del mixed["place"]["shelf"]
+    assert one(spark, json.dumps(mixed), lambda c: R.check_template(c, SHAPE)) == ["place.shelf: missing", "place.box.lid: unexpected", "place.side: unexpected", "new: unexpected"]
+    assert one(spark, None, lambda c: R.check_template(c, SHAPE)) == ["root: expected object"]
 
 
 def test_schema_and_contracts():
@@ -103,8 +134,14 @@ def test_render(spark):
     assert got == "xB-B-{c}"
 
 
-def test_registered_functions(spark):
+def test_registered_functions_are_the_columns(spark):
     X.register(spark)
-    r = spark.sql("SELECT split_sentences('A. B') s, strip_text(' x ') t, looks_binary(X'00') b").first()
-    assert r["s"] == ["A.", "B"] and r["t"] == "x" and r["b"] is True
-    assert not re.search("[.]$", r["t"])
+    raw = [b"", b"abc\n", b"ab\x00", b"\x01\x02\x03\x04abc", b"\x01" * 2 + b"a" * 8, b"\x01" + b"a" * 9, b"\xff" * 9, None]
+    df = spark.createDataFrame([(bytearray(b) if b is not None else None,) for b in raw], "b binary").select(X.looks_binary(F.col("b")).alias("c"), F.expr("looks_binary(b)").alias("s"))
+    assert all(r["c"] == r["s"] for r in df.collect())
+    names = spark.createDataFrame([(n,) for n in ("a/b.txt", "a\\b", "/abs", "../x", "a/../b", "C:x", "./a//b/", "", ".", "a..b", None)], "n string")
+    assert all(r["c"] == r["s"] for r in names.select(X.safe_path(F.col("n")).alias("c"), F.expr("safe_path(n)").alias("s")).collect())
+    texts = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "t string").select(
+        X.sentences(F.col("t")).alias("a"), F.expr("split_sentences(t)").alias("b"), X.paginate(F.col("t"), 20, 0.5).alias("c"), F.expr("paginate(t, 20, 10)").alias("d"), F.expr("strip_text(t)").alias("e"), X.strip(F.col("t")).alias("f")
+    )
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] and r["e"] == r["f"] for r in texts.collect())

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -70,3 +71,26 @@ def test_recognition(spark):
     rows = [("a.txt", bytearray(b"hi")), ("a.exe", bytearray(b"hi")), ("b.txt", bytearray()), ("c.txt", bytearray(b"\x00")), (None, None), ("d.txt", None)]
     got = P.recognized(spark.createDataFrame(rows, "rel string, content binary")).collect()
     assert [r["text"] for r in got] == ["hi", None, None, None, None, None]
+
+
+def test_sidecars_keep_lists(spark, tmp_path):
+    rows = spark.createDataFrame([("a.publish.json", "r", "T", "c", "s", ["x|y", "z"], [], 0.5)], "path string, run_id string, title string, category string, summary string, tags array<string>, language array<string>, confidence double")
+    runs.write_sidecars(rows, str(tmp_path / "out"))
+    got = json.loads(spark.read.json(str(tmp_path / "out")).first()["value"])["identity"]
+    assert got["tags"] == ["x|y", "z"] and got["language"] == []
+
+
+def test_memo_page_must_be_there_by_then(spark):
+    say = lambda i, doc: (i, "r", 1, i, "assistant", json.dumps(doc), None, None)
+    rows = [say(1, {"action": "read_memo", "page": 1}), say(2, {"action": "write_memo", "memo": "One note. " * 9}), say(3, {"action": "read_memo", "page": 2}), say(4, {"action": "read_memo", "page": 999}), say(5, {"action": "read_memo", "page": "1"})]
+    log = M.unique_messages(spark.createDataFrame(rows, "msg_id long, run_id string, session long, turn long, role string, text string, prompt_key string, logged_at timestamp"))
+    got = {r["msg_id"]: r["verdict"] for r in M.memo_verdicts(M.parsed_replies(log), page_chars=50, ratio=1.0).collect()}
+    assert got == {1: "stall", 2: "memo_saved", 3: "deliver", 4: "stall", 5: "stall"}
+
+
+def test_first_arrivals(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 3, "a"), (1, None, "c"), (2, None, "d"), (None, 2, "e"), (None, 1, "f"), (3, 1, None)], "k long, t long, v string")
+    want = {(1, 3, "a"), (2, None, "d"), (None, 1, "f"), (3, 1, None)}
+    assert {tuple(r) for r in M.first_arrivals(rows, "k", "t").collect()} == want
+    monkeypatch.setattr(M, "FEW_KEYS", 0)
+    assert {tuple(r) for r in M.first_arrivals(rows, "k", "t").collect()} == want and M.first_arrivals(rows.limit(0), "k", "t").count() == 0
