@@ -1,12 +1,15 @@
 """Problem 4: defective pairs of request and reply.
 
-A body without a closing mark breaks off by itself, with or without a longer
-version among the replies.  For all other bodies, and for the words of cut JSON,
-distinct bodies are sorted by text; one that is a proper prefix of its neighbour
-is a shortened version, and what follows there tells whether it stops inside a
-sentence.  Lengths at which far more unfinished bodies end than at the lengths
-around them are limits of the writer.  Rules for empty, copied, refusing and
-foreign replies then name the defect.
+Shortened versions are found by sorting: texts in order are compared with their
+neighbours, and one that is a proper prefix of the next is shortened.  Two lists
+are sorted.  In the list of distinct bodies, what follows in the longer one tells
+whether a body stops inside a sentence, also behind a dot.  As hardly any reply
+has its own longer version among the others, the second list holds the last
+words of every unfinished body, or the last signs of cut JSON, among the word
+sequences of all replies: an ending that other replies go on from is shortened,
+one that nothing goes on from is not.  Lengths at which far more unfinished
+bodies end than at the lengths around them are limits of the writer.  Rules for
+empty, copied, refusing and foreign replies name the other defects.
 """
 
 from __future__ import annotations
@@ -52,6 +55,9 @@ REFUSAL = re.compile(
 )
 #: The words of a reply within JSON that may be cut; the last value may lack its end.
 _FIELD = re.compile(r'"(?:summary|memo|text|answer)"\s*:\s*"((?:[^"\\]|\\.)*)', re.S)
+_VALUE = re.compile(r'"(?:[^"\\]|\\.)*"(?!\s*:)(?=\s*[,}\]])', re.S)
+#: Words of a shortened ending, and how much longer the sequences are that it is compared with.
+ENDING, MORE = 2, 1
 #: Dots that end no sentence by themselves: initials and letters of abbreviations, words before numbers, ordinals behind an article.
 _INNER_DOT = re.compile(r"(?:^|[\s(\[\"'“„«.])(?:[^\W\d_]|nr|no|núm|vol|abb|bzw|ca|vgl|fig|dr|mr|mrs|prof|sr|sra|стр|рис|(?:am|vom|zum|der|dem|den|des|im|bis) \d{1,2})\.$", re.I)
 _SORRY = re.compile(r"^(?:i(?:'m| am) (?:very )?sorry|sorry|thank you[^.]*|unfortunately|tut mir leid|leider|entschuldigung|désolé|pardon|lo siento|disculpe|извините|простите|к сожалению|很?抱歉|对不起)[\s,.!，。！]*$", re.I)
@@ -88,6 +94,18 @@ def unwrap(text: str | None) -> tuple[str, str]:
     return "text", (prefix + "\n" + t if prefix else t)
 
 
+def frame(reply: str | None) -> str:
+    """The signs and keys of a reply's JSON without its values; an unfinished string is a single quotation mark."""
+    t = reply or ""
+    at = t.find("{")
+    if at < 0 or not re.match(r'\{\s*"', t[at:]):
+        return ""
+    t = _VALUE.sub('"v"', t[at:].rstrip("` \n"))
+    if t.count('"') % 2:
+        t = t[: t.rindex('"') + 1]
+    return re.sub(r"([{}\[\],:])", r" \1 ", t)
+
+
 def _cut_words(t: str) -> str:
     """The words of a JSON object that doesn't parse, as far as they go."""
     words = []
@@ -263,7 +281,7 @@ def shortened(bodies: DataFrame) -> DataFrame:
 
 
 def _prefix(short: str, long: str) -> bool:
-    return len(short) >= 20 and long != short and long.startswith(short)
+    return long != short and long.startswith(short)
 
 
 def _shown(short: str, long: str) -> tuple[bool, bool]:
@@ -271,6 +289,28 @@ def _shown(short: str, long: str) -> tuple[bool, bool]:
     return longer, longer and stops_inside(short, long[len(short) :])
 
 
+def _sequence(text: Column) -> Column:
+    """Words of a text; file names and numbers are alike, characters of unspaced scripts are words of their own."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\S*\w\.[A-Za-z]\w{1,4}\b", "f"), r"\d+(?:[.,:/\-]\d+)*", "0")
+    return F.filter(F.split(F.regexp_replace(plain, f"([{_UNSPACED}])", " $1 "), r"\s+"), lambda w: w != "")
+
+
+def shortened_endings(bodies: DataFrame, unfinished: DataFrame) -> DataFrame:
+    """(body): the unfinished texts whose last words finished ones go on from.
+
+    ``bodies``, the finished ones, and ``unfinished`` have one column ``body``.  The last ENDING words, or those before the last, which may be
+    cut, are sorted among all sequences of ENDING + MORE words; see :func:`shortened`.
+    """
+    words = _sequence(F.col("body"))
+    some = bodies.filter("body <> ''").distinct().withColumn("w", words).filter(F.size("w") > 0)
+    runs = some.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, ENDING + MORE), " "))).alias("body"))
+    bare = F.regexp_replace("body", r"(?:\.{2,}|…)[\"”’»)\s]*$", "")
+    last = lambda back: F.array_join(F.slice(F.reverse(F.slice(F.reverse("w"), back + 1, ENDING)), 1, ENDING), " ")
+    ends = cut(unfinished.filter("body <> ''").distinct().withColumn("w", _sequence(bare)).filter(F.size("w") > 0).select("body", F.explode(F.array_distinct(F.array(last(0), last(1)))).alias("end")).filter("end <> ''"))
+    longer = shortened(runs.unionByName(ends.select(F.col("end").alias("body")))).filter("longer").select("h").distinct()
+    return ends.join(longer, F.xxhash64("end") == F.col("h"), "left_semi").select("body").distinct()
+
+
 def length_limits(bodies: DataFrame) -> DataFrame:
     """(size): lengths at which more unfinished bodies end than at all twenty lengths around them together."""
     unfinished = bodies.filter(~F.regexp_replace("body", r"[\s\"'”’»)\]`]+$", "").rlike(f"[{_ENDS}]$")).groupBy(F.length("body").alias("size")).agg(F.count("*").alias("n"))
@@ -289,39 +329,44 @@ def find_defects(messages: DataFrame, languages: tuple) -> DataFrame:
     def judge(cols: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = LanguageModel(*shared.value)
         for replies, requests in cols:
-            yield pd.DataFrame([_judge(a, b or "", known) for a, b in zip(replies, requests)], columns=["body", "verdict", "open", "lang"])
+            yield pd.DataFrame([_judge(a, b or "", known) for a, b in zip(replies, requests)], columns=["body", "verdict", "open", "lang", "ending", "frame"])
 
-    verdict = F.pandas_udf(judge, "body string, verdict string, open boolean, lang string")("reply", "request")
+    verdict = F.pandas_udf(judge, "body string, verdict string, open boolean, lang string, ending string, frame string")("reply", "request")
     cols = ["run_id", "msg_id", "p.*"]
     pairs = cut(_pairs(messages).withColumn("p", verdict).select(*cols, "late"))
     if pairs.filter("late").limit(1).count():
         late = cut(_late_pairs(messages).withColumn("p", verdict).select(*cols))
         pairs = pairs.filter("not late").drop("late").unionByName(late)
-    pairs = pairs.withColumn("h", F.xxhash64("body")).withColumn("size", F.length("body"))
+    pairs = pairs.withColumn("h", F.xxhash64("body")).withColumn("e", F.xxhash64("ending")).withColumn("size", F.length("body"))
     texts = pairs.select("body").filter("body <> ''")
     longer = shortened(texts).filter("inside").select("h", "inside")
+    endings = shortened_endings(pairs.filter("ending = ''").select(F.explode(F.array("body", "frame")).alias("body")), pairs.select(F.col("ending").alias("body"))).select(F.xxhash64("body").alias("e"), F.lit(True).alias("goes_on"))
     limits = length_limits(texts).select(F.col("size"), F.lit(True).alias("limited"))
-    joined = pairs.select("run_id", "msg_id", "verdict", "open", "lang", "h", "size").join(longer, "h", "left").join(limits, "size", "left").join(run_languages(messages, languages), "run_id", "left")
-    shorter = F.coalesce("inside", F.lit(False)) | F.coalesce("limited", F.lit(False)) & F.col("open")
+    slim = pairs.select("run_id", "msg_id", "verdict", "open", "lang", "h", "e", "size", (F.col("ending") != "").alias("unfinished"))
+    joined = slim.join(longer, "h", "left").join(endings, "e", "left").join(limits, "size", "left").join(run_languages(messages, languages), "run_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    shorter = yes(F.col("inside")) | yes(F.col("limited")) & (F.col("open") | F.col("unfinished")) | yes(F.col("goes_on")) & F.col("unfinished")
     foreign = F.col("lang").isNotNull() & F.col("asked").isNotNull() & (F.col("lang") != F.col("asked"))
     defect = F.when(F.col("verdict") != "", F.col("verdict")).when(shorter, F.lit("truncated")).when(foreign, F.lit("other_language"))
     return joined.select("msg_id", defect.alias("defect")).filter("defect is not null").distinct()
 
 
-def _judge(reply: str | None, request: str, known: LanguageModel) -> tuple[str, str, bool, str | None]:
-    """(body, verdict or '', whether the body stops without an end that is sure, its language if sure)."""
+def _judge(reply: str | None, request: str, known: LanguageModel) -> tuple[str, str, bool, str | None, str, str]:
+    """(body, verdict or '', whether the body stops without an end that is sure, its language if sure, its unfinished
+    text or '', the frame of its JSON)."""
     form, body = unwrap(reply)
     if form == "empty":
-        return "", "empty", False, None
+        return "", "empty", False, None, "", ""
+    signs = frame(reply)
     if form != "text":
-        return body, "truncated" if form == "broken" else "", False, None
+        return body, "", False, None, signs or body if form == "broken" else "", "" if form == "broken" else signs
     if is_copy(body, request):
-        return body, "copy", False, None
+        return body, "copy", False, None, "", signs
     if is_refusal(body):
-        return body, "refusal", False, None
+        return body, "refusal", False, None, "", signs
     if breaks_off(body):
-        return body, "truncated", True, None
+        return body, "", True, None, body, signs
     if _BARE.match(body.strip()):
-        return body, "", False, None
+        return body, "", False, None, "", signs
     got, sure = known.best(body)
-    return body, "", body.rstrip(_CLOSE)[-1:] not in _ENDS or inner_dot(body), got if sure > 0.9 else None
+    return body, "", body.rstrip(_CLOSE)[-1:] not in _ENDS or inner_dot(body), got if sure > 0.9 else None, "", signs

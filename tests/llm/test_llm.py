@@ -1,5 +1,6 @@
 """Small cases of every text operator: defined results for nulls, empty and long texts, ties, repeats and clashing names."""
 
+import json
 import math
 import random
 import re
@@ -216,7 +217,7 @@ def test_shortened_versions_and_limits(spark):
     texts += [t[: len(t) - 4] for t in texts[:40]] + [None, "", texts[5]]
     df = spark.createDataFrame([(t,) for t in texts], "body string")
     distinct = sorted({t for t in texts if t})
-    want = {t for t, n in zip(distinct, distinct[1:]) if len(t) >= 20 and n.startswith(t)}
+    want = {t for t, n in zip(distinct, distinct[1:]) if n.startswith(t)}
     known = {r["h"]: r["body"] for r in df.select(F.xxhash64("body").alias("h"), "body").collect()}
     assert {known[r["h"]] for r in pairs.shortened(df).filter("longer").collect()} == want
     cut = spark.createDataFrame([("x" * 50,)] * 40 + [("y" * n,) for n in range(30, 70)], "body string")
@@ -422,3 +423,25 @@ def test_reordered_passage_is_found_by_coverage(spark):
     items = spark.createDataFrame([(7, " ".join(passage)), (8, "yes " * 14), (9, None)], "item_id long, passage string")
     got = {(r["doc_id"], r["item_id"]): (r["leak"], r["coverage"]) for r in leaks.find_leaks(docs, items).collect()}
     assert {k: v[0] for k, v in got.items()} == {(1, 7): "reordered", (2, 7): "stretch", (4, 8): "stretch"} and got[(1, 7)][1] == 1.0
+
+
+def test_shortened_endings(spark):
+    whole = ["The map lies in the old box.", "She found 12 maps in notes.txt today.", "他把旧地图留在盒子里。"]
+    cut = ["Nobody knows who lies in the old bo", "We found 7 ma", "没有人把旧地", "Xyzzy plugh qwert"]
+    df = spark.createDataFrame([(t,) for t in [*whole, None]], "body string")
+    got = pairs.shortened_endings(df, spark.createDataFrame([(t,) for t in cut], "body string"))
+    assert {r["body"] for r in got.collect()} == set(cut[:3])
+    assert pairs.shortened_endings(df.limit(0), df.limit(0)).count() == 0
+    assert pairs.frame('{"action": "read_page", "tags": ["a", "b"], "pa').split()[-3:] == ["]", ",", '"'] and pairs.frame("plain") == ""
+
+
+def test_without_neighbours_no_reply_is_truncated(spark, models, monkeypatch):
+    say = lambda t: json.dumps({"summary": t})
+    texts = [EN.split(". ")[0] + ".", EN.split(". ")[1], "The reader opens the old bo", "Nobody knows who left the ma"]
+    rows = [(1, 1, 1, "system", "s")] + [x for i, t in enumerate(texts) for x in ((10 * i + 2, 1, 2 * i + 2, "user", "What is in the box?"), (10 * i + 3, 1, 2 * i + 3, "assistant", say(t)))]
+    log = spark.createDataFrame([(m, "r", s, t, role, text, None, None) for m, s, t, role, text in rows], "msg_id long, run_id string, session long, turn long, role string, text string, prompt_key string, logged_at timestamp")
+    found = lambda: {r["msg_id"]: r["defect"] for r in pairs.find_defects(log, models[0]).collect()}
+    assert {k: v for k, v in found().items() if v == "truncated"} == {23: "truncated", 33: "truncated"}
+    none = spark.createDataFrame([], "h long, longer boolean, inside boolean")
+    monkeypatch.setattr(pairs, "shortened", lambda bodies: none)
+    assert "truncated" not in found().values()
