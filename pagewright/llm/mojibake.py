@@ -18,8 +18,8 @@ bytes of one multi-byte character) to the letters that were meant.
    ``str.translate``.  A page is damaged where repaired words are more probable
    than stored ones by more than the prior odds, or where characters are lost
    (U+FFFD, C1 controls).
-5. Damaged words are taken out of the counts and steps 2 to 4 run again: the
-   outer EM over "damaged or not".
+5. The words with non-ASCII characters of damaged texts are taken out of the
+   counts and steps 2 to 4 run again: the outer EM over "damaged or not".
 """
 
 from __future__ import annotations
@@ -611,13 +611,24 @@ def damaged_words(pages: DataFrame, model: BigramModel, key: str, source: str, t
     return cut(joined.mapInPandas(repair, f"k {kinds[0]}, odds double, cipher string, words array<string>, repaired array<string>"))
 
 
+def _foreign_words(pages: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """(t): the words with non-ASCII characters of each text found damaged, most of which its cipher made."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"t": [" ".join(_words_of(t)) for t in b["t"] if t is not None]}, dtype=object)
+
+    keys = cut(found.select(F.col("k").alias("__k")).distinct())
+    return pages.join(keys, F.col(key) == F.col("__k"), "left_semi").select(F.col(text).alias("t")).mapInPandas(words, "t string")
+
+
 def find_damage(pages: DataFrame, key: str = "page_id", source: str | None = None, text: str = "text", rounds: int = 2) -> DataFrame:
     """(key, damage_odds, cipher, repairs) of the damaged texts; ``repairs`` maps words to what they were meant to be."""
     model = learn_bigrams(pages, text)
     for i in range(max(1, rounds)):
         found = damaged_words(pages, model, key, source or key, text, i + 1 >= rounds)
         if i + 1 < rounds:  # the corpus without its damaged words
-            model = model.without(*_counts(found.select(F.explode("words").alias("t")))[:3])
+            model = model.without(*_counts(_foreign_words(pages, found, key, text))[:3])
     each = found.select("k", F.explode(F.arrays_zip("words", "repaired")).alias("x"), "odds").groupBy("k", "x.words").agg(F.max_by("x.repaired", "odds").alias("repaired"))
     maps = each.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("words", "repaired"))).alias("repairs"))  # words of one text
     repaired = found.groupBy("k").agg(F.max("odds").alias("odds"), F.max_by("cipher", "odds").alias("cipher")).join(maps, "k")
