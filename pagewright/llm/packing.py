@@ -127,10 +127,10 @@ def invariants(placed: DataFrame, capacity: int) -> DataFrame:
     """One row of what must hold of any packing: (tokens, pieces, unplaced, repeated, overfull, well_filled).
 
     ``tokens`` and ``pieces`` placed, pieces with tokens but no container, pieces that stand in two, containers above the
-    capacity, and whether the containers are 99 in 100 full.
+    capacity, and whether there are no more containers than the tokens need, but for one in a hundred and two more.
     """
     full = placed.filter("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("used"), F.count("*").alias("pieces"))
-    fill = full.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count(F.when(F.col("used") > capacity, 1)).alias("overfull"), (F.sum("used") >= F.count("*") * F.lit(0.99 * capacity)).alias("well_filled"))
+    fill = full.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count(F.when(F.col("used") > capacity, 1)).alias("overfull"), (F.count("*") <= F.ceil(F.sum("used") / F.lit(capacity)) * F.lit(1.01) + F.lit(2)).alias("well_filled"))
     once = placed.groupBy("doc_id", "piece").agg(F.count("*").alias("n"), F.count(F.when((F.col("size") > 0) & F.col("container_id").isNull(), 1)).alias("none"))
     loose = once.agg(F.coalesce(F.sum("none"), F.lit(0)).alias("unplaced"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))
     both = fill.withColumn("one", F.lit(1)).join(loose.withColumn("one", F.lit(1)), "one")  # one row each
