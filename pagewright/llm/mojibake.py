@@ -287,11 +287,14 @@ def learn_table(left: list[bytes], right: list[bytes], n: np.ndarray, cipher: st
     u, v, n = u[open_], v[open_], n[open_]
     table, trust = prior.copy(), 0.1 if cipher == "unknown" else TRUST[kind_of(cipher)]
     step = max(1, 4_000_000 // most**2)  # pairs at once, so that memory doesn't grow with them
+    chances = None  # the same in every round; kept where all pairs are taken at once
     for _ in range(rounds or (20 if cipher == "unknown" else 8 if wide else 3)):
         expected = np.zeros_like(table)
         for at in range(0, len(u), step):
             a, b, w = u[at : at + step], v[at : at + step], n[at : at + step]
-            joint = model.chances(letters[a][:, :, None], letters[b][:, None, :]) * table[a][:, :, None] * table[b][:, None, :]
+            if chances is None or len(u) > step:
+                chances = model.chances(letters[a][:, :, None], letters[b][:, None, :])
+            joint = chances * table[a][:, :, None] * table[b][:, None, :]
             joint *= (w / np.maximum(joint.sum(axis=(1, 2)), 1e-300))[:, None, None]
             np.add.at(expected, a, joint.sum(axis=2))
             np.add.at(expected, b, joint.sum(axis=1))
